@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, token_counts
+from . import exact_dedup, packing, quality, secrets, token_counts
 
-_MODULES = (token_counts, packing, exact_dedup)
+_MODULES = (token_counts, secrets, packing, quality, exact_dedup)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
