@@ -189,8 +189,9 @@ def _apart(pairs: DataFrame, label: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: id, ``row_col`` if given, ``n_shingles``, ``class`` (null without shingles) and
-    ``component_id``, the least id of all documents reachable by links of ``percent`` % similarity or more."""
+    """One row per row of ``docs``: id, ``row_col`` if given, ``n_shingles``, ``class`` and ``component``
+    (numbers of its set of shingles and of the sets connected with it, null without shingles) and ``component_id``, the
+    least id of all documents reachable by links of ``percent`` % similarity or more."""
     kept = [id_col] + ([row_col] if row_col else [])
     source = docs.select(*kept, text_col)
     schema = T.StructType([*(source.schema[c] for c in kept), T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType())])
@@ -209,8 +210,8 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     joined = classes.join(component.withColumnRenamed("c", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     joined = common.cut(joined)
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = joined.join(least, "component").select("class", "component_id")
-    return narrow.join(named, "class", "left").select(*kept, "n_shingles", "class", F.when(F.col("class").isNull(), F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"))
+    named = joined.join(least, "component").select("class", "component", "component_id")
+    return narrow.join(named, "class", "left").select(*kept, "n_shingles", "class", "component", F.when(F.col("class").isNull(), F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,22 +162,14 @@ class WordBpe:
         return list(self.encode_each(texts))
 
     def encode_each(self, texts: list[str]):
-        """Ids of each text in turn; words seen for the first time are encoded together."""
-        words = [self.plain_words(t) for t in texts]
-        known = self.ids
-        new = list({w for ws in words if ws for w in ws} - known.keys())
-        if len(known) + len(new) > KEEP and known:
-            known.clear()
-            new = list({w for ws in words if ws for w in ws})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        for text, ws in zip(texts, words, strict=True):
-            if ws is None:
+        """Ids of each text in turn."""
+        ids = self.ids.__getitem__
+        for text in texts:
+            words = self.plain_words(text)
+            if words is None:
                 yield np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             else:
-                yield b"".join(map(known.__getitem__, ws))
+                yield b"".join(map(ids, words))
 
 
 class _Tables(dict):
@@ -194,8 +186,20 @@ class _Tables(dict):
 
 
 class _Ids(dict):
+    """Ids of words. When it is full it becomes the older half, from which words that come up again are taken."""
+
     def __init__(self, bpe: WordBpe):
-        self.bpe = bpe
+        self.bpe, self.model, self.old = bpe, bpe.library.model, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= 2 * KEEP:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(word)
+        if found is None:
+            found = np.array([t.id for t in self.model.tokenize(self.bpe._bytes_of(word))], "<u4").tobytes()
+        self[word] = found
+        return found
 
 
 class _Totals(dict):
