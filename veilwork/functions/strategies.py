@@ -169,19 +169,21 @@ def _hash_value(spec: Spec, profile: Profile, value: str | None, k: int) -> str:
 # -- columns --------------------------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf("binary")
-def _fresh(n: pd.Series) -> pd.Series:
-    return pd.Series([secrets.token_bytes(32) for _ in range(len(n))])
+def _fresh() -> Column:
+    """32 bytes a row from the operating system."""
 
+    @F.pandas_udf("binary")
+    def draw(n: pd.Series) -> pd.Series:
+        return pd.Series([secrets.token_bytes(32) for _ in range(len(n))])
 
-_fresh = _fresh.asNondeterministic()
+    return draw.asNondeterministic()(F.lit(1))
 
 
 def _seed(spec: Spec, profile: Profile, value: Column, ordinal: int, k: Column | int) -> Column:
     if spec.domain:
         return domain_seed_column(profile, spec.salt, spec.strategy, spec.domain_key, value, k)
     if profile.hardened:
-        return _fresh(F.lit(1))
+        return _fresh()
     seeds = [None if profile.seed is None else profile.seed * 1_000_003 + 2 * ordinal + i for i in range(2)]
     return sha(F.concat_ws(":", *((F.rand() if s is None else F.rand(s)).cast("string") for s in seeds)).cast("binary"))
 

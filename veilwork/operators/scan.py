@@ -52,7 +52,7 @@ def spans(text: Column, pattern: str) -> Column:
 
 
 def luhn(text: Column) -> Column:
-    return F.luhn_check(F.regexp_replace(text, "[^0-9]", ""))
+    return F.call_function("luhn_check", F.regexp_replace(text, "[^0-9]", ""))
 
 
 def plausible_ssn(text: Column) -> Column:
