@@ -1,0 +1,258 @@
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from veilwork.functions import fakes, fuzz, jsonpath, predicates, strategies
+from veilwork.functions.stream import Profile
+from veilwork.operators import coverage, domains, report, scaffold, scan, seal
+from veilwork.operators.masking import Masking
+from veilwork.plans.policy import LOCALES, Predicate, ScanSettings, Spec, loads
+from veilwork.streaming import masking as streams
+
+VALUES = ["alice", "Bob é", "", None, "2024-02-28", "23:59:50", "10:20", "10:20:30.5", "2024-11-15 13:45:10", "2024-11-15T13:45:10.250+05:30", "2024-11-15 13:45:10+00"]
+
+
+def of(toml: str, **more) -> Masking:
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return Masking.of(loads(toml), **more)
+
+
+# -- predicates -----------------------------------------------------------------------------------------------------------
+
+
+def matches(spark, values, *predicates_):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    rows = df.select(*(predicates.predicate(p, df.columns).alias(f"p{k}") for k, p in enumerate(predicates_))).collect()
+    return [[values[i] for i, r in enumerate(rows) if r[k]] for k in range(len(predicates_))]
+
+
+def test_text_predicates_are_two_valued(spark):
+    values = ["US", "us", None, "", "null", "É", "é"]
+    p = lambda op, **more: Predicate("v", op, **more)
+    got = matches(spark, values, p("eq", value="US"), p("eq", value="us", case_insensitive=True), p("neq", value="US"), p("in", values=("US", "")), p("not_in", values=("US", "")), p("is_null"), p("not_null"), p("eq", value="é", case_insensitive=True), p("in"), p("eq", value=[1]))
+    assert got[:7] == [["US"], ["US", "us"], ["us", None, "", "null", "É", "é"], ["US", ""], ["us", None, "null", "É", "é"], [None], ["US", "us", "", "null", "É", "é"]]
+    assert got[7] == ["é"]  # only ASCII letters are folded
+    assert got[8] == [] and got[9] == []
+
+
+def test_patterns(spark):
+    values = ["abc", "abc\n", "a%c", "A_C", "a\\c", "a\nc", "é", "xÉ", "٣"]
+    p = lambda op, value: Predicate("v", op, value)
+    got = matches(spark, values, p("like", "a%c"), p("like", "a_c"), p("ilike", "A_C"), p("like", "a\\c"), p("regex", "^abc$"), p("iregex", "é$"), p("regex", r"^\d$"), p("regex", "[$]|^A"))
+    assert got == [["abc", "a%c", "a\\c"], ["abc", "a%c", "a\\c"], ["abc", "a%c", "A_C", "a\\c"], ["a\\c"], ["abc"], ["é", "xÉ"], ["٣"], ["A_C"]]
+
+
+def test_numbers(spark):
+    values = ["1e3", " 5 ", "5d", "+5", ".5", "NaN", "inf", "1,000", None, "-7", "5.", "1e", ""]
+    p = lambda op, value: Predicate("v", op, value)
+    got = matches(spark, values, p("gte", 5), p("lt", "5"), p("lte", 5.0), p("gt", "x"), p("gt", True))
+    assert got == [["1e3", "+5", "NaN", "inf", "5."], [".5", "-7"], ["+5", ".5", "-7", "5."], [], []]
+
+
+def test_missing_columns_never_match(spark):
+    got = matches(spark, ["a"], *(Predicate("nope", op, "x") for op in ("eq", "neq", "not_in", "is_null", "not_null")))
+    assert got == [[]] * 5
+
+
+def test_json_predicates(spark):
+    docs = ['{"p":{"tier":"gold"},"events":[{"kind":"keep"},[{"kind":"x"}]],"n":1.50,"b":true,"z":null}', '{"p":{}}', "{bad", None, "[1]"]
+    p = lambda op, path, value=None: Predicate(f"v.{path}", op, value)
+    got = matches(spark, docs, p("eq", "p.tier", "gold"), p("eq", "events.kind", "x"), p("eq", "events.0.kind", "keep"), p("eq", "n", "1.50"), p("eq", "b", "true"), p("is_null", "z"), p("neq", "p.tier", "gold"), p("eq", "p", '{"tier":"gold"}'))
+    assert got == [[docs[0]]] * 5 + [docs, docs[1:], [docs[0]]]
+
+
+# -- strategies -----------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("profile", [Profile(), Profile(salt="s"), Profile(hardened=True, salt="key" * 30)])
+def test_columns_equal_single_values(spark, profile):
+    specs = [Spec("uuid", domain="d"), Spec("hash", domain="D "), Spec("hash", salt="q"), Spec("int_range", min=-5, max=90, domain="d"), Spec("int_range", max=10**15, domain="d"), Spec("decimal", domain="d", scale=3), Spec("payment_card", domain="d")]
+    specs += [Spec("string", domain="d"), Spec("date_fuzz", domain="d"), Spec("time_fuzz", domain="d", min_seconds=-50000, max_seconds=70000), Spec("datetime_fuzz", domain="d", min_seconds=-9000000, max_seconds=9000000), Spec("email", domain="d"), Spec("phone", domain="d", locale="de_de")]
+    df = spark.createDataFrame([(v,) for v in VALUES], "v string").coalesce(1)
+    rows = df.select("v", *(strategies.mask_column(s, profile, F.col("v"), most=30).cast("string").alias(f"c{i}") for i, s in enumerate(specs))).collect()
+    for r in rows:
+        for i, s in enumerate(specs):
+            assert r[f"c{i}"] == strategies.mask_value(s, profile, r.v, most=30), (s, r.v)
+
+
+def test_fakers_run_in_every_locale():
+    assert len(fakes.GENERATORS) == 87
+    for name in fakes.GENERATORS:
+        for locale in LOCALES:
+            spec = Spec("faker", faker=name, format="(###) ^-x", locale=locale, domain="d")
+            found = strategies.mask_value(spec, Profile(), "v")
+            assert found and found == strategies.mask_value(spec, Profile(), "v")
+    assert fakes.is_supported(Spec("faker", faker="Phone_Number::PHONE"))
+
+
+def test_properties():
+    for i in range(200):
+        v, p = str(i), Profile()
+        card = strategies.mask_value(Spec("payment_card", length=13 + i % 7, domain="d"), p, v)
+        digits = [int(c) for c in card]
+        assert len(card) == 13 + i % 7 and card[0] != "0" and fakes.check_digit(digits[:-1], "luhn") == card[-1]
+        whole, rest = strategies.mask_value(Spec("decimal", min=-3, max=3, scale=4, domain="d"), p, v).split(".")
+        assert -3 <= int(whole) <= 3 and len(rest) == 4
+        assert strategies.mask_value(Spec("int_range", min=5, max=5, domain="d"), p, v) == "5"
+    assert fakes.check_digit([0, 3, 0, 6, 4, 0, 6, 1, 5], "isbn10") == "2" and fakes.check_digit([9, 7, 8, 0, 3, 0, 6, 4, 0, 6, 1, 5], "isbn13") == "7"
+
+
+def test_nulls_and_randomness(spark):
+    toml = "\n".join(f'{s} = {{ strategy = "{s}" }}' for s in ("redact", "blank", "empty_array", "empty_object", "null", "hash", "uuid", "date_fuzz", "email"))
+    df = spark.createDataFrame([(None,) * 9, ("2024-01-01",) * 9], ", ".join(f"`{s}` string" for s in ("redact", "blank", "empty_array", "empty_object", "null", "hash", "uuid", "date_fuzz", "email")))
+    none, some = of(f"[rules.t]\n{toml}", seed=3).apply(df, "t").collect()
+    assert (none["redact"], none["blank"], none["empty_array"], none["empty_object"], none["null"], none["date_fuzz"]) == ("REDACTED", None, None, None, None, None)
+    assert none["hash"] == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855" and none["uuid"] and none["email"]
+    assert (some["blank"], some["empty_array"], some["empty_object"]) == ("", "[]", "{}") and some["uuid"] != none["uuid"]
+    again = of(f"[rules.t]\n{toml}", seed=3).apply(df, "t").collect()
+    assert again == [none, some]
+    a, b = (of(f'salt = "k"\n[rules.t]\n{toml}', hardened=True, seed=3).apply(df, "t").collect()[1] for _ in range(2))
+    assert a["uuid"] != b["uuid"] and a["hash"] == b["hash"]
+    with pytest.raises(ValueError, match="global salt"):
+        of("", hardened=True)
+
+
+def test_fuzz_formats():
+    assert fuzz.date_text(" 2024-02-28 ", 2) == "2024-03-01" and fuzz.date_text("28.2.2024", 2) == "28.2.2024" and fuzz.date_text("2023-02-30", 1) == "2023-02-30"
+    assert fuzz.time_text("10:00", 60) == "10:01" and fuzz.time_text("10:00", 61) == "10:01:01" and fuzz.time_text("00:00:10", -20) == "23:59:50" and fuzz.time_text("10:00:00.5", 1) == "10:00:01.500" and fuzz.time_text("25:00", 1) == "25:00"
+    assert fuzz.datetime_text("2024-11-15 13:45:10", 50) == "2024-11-15 13:46:00" and fuzz.datetime_text("2024-12-31T23:59:59+01:00", 1) == "2025-01-01T00:00:00+01:00"
+    assert fuzz.datetime_text("2024-11-15 13:45:10+00", 50) == "2024-11-15 13:45:10+00"
+
+
+def test_typed_columns_keep_their_types(spark):
+    df = spark.createDataFrame([(dt.date(2024, 1, 31), dt.datetime(2024, 1, 31, 12), 5, [1.5]), (None, None, None, None)], "d date, t timestamp, n int, a array<float>")
+    out = of('[rules.t]\nd = { strategy = "date_fuzz", min_days = 1, max_days = 1 }\nt = { strategy = "datetime_fuzz", min_seconds = 30, max_seconds = 30 }\nn = { strategy = "int_range", min = 7, max = 7 }').apply(df, "t")
+    assert [t for _, t in out.dtypes] == ["date", "timestamp", "bigint", "array<float>"]
+    assert out.collect()[0][:3] == (dt.date(2024, 2, 1), dt.datetime(2024, 1, 31, 12, 0, 30), 7) and out.collect()[1][:2] == (None, None)
+
+
+# -- masking --------------------------------------------------------------------------------------------------------------
+
+
+def test_cases_see_original_cells(spark):
+    df = spark.createDataFrame([(1, "a@x", "US", False), (2, "b@x", "DE", False), (3, "c@x", "US", True)], "id int, email string, country string, is_admin boolean")
+    m = of(
+        '[rules.users]\nemail = { strategy = "hash" }\ncountry = { strategy = "null" }\n[[column_cases."public.users".email]]\nwhen.any = [{ column = "is_admin", op = "eq", value = true }]\nstrategy = { strategy = "redact" }\n'
+        '[[column_cases."public.users".email]]\nwhen.all = [{ column = "country", op = "eq", value = "DE" }]\nstrategy = { strategy = "blank" }'
+    )
+    rows = m.apply(df, "public.users").orderBy("id").collect()
+    assert [len(r.email) for r in rows] == [64, 0, 8] and all(r.country is None for r in rows)
+    plan = m.apply(df, "public.users")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_filters_are_pushed_down(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(10).selectExpr("cast(id AS string) AS a", "id AS b", "id AS c").write.parquet(path)
+    out = of('[rules.t]\nb = { strategy = "null" }\n[row_filters.t]\nretain = [{ column = "a", op = "eq", value = "3" }]').apply(spark.read.parquet(path).select("a", "b"), "t")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(a,3)" in plan and "c#" not in plan and out.count() == 1
+
+
+def test_json_rewrite(spark):
+    doc = '{"score": 42, "ok": true, "label": "x", "list": [1], "groups": [{"members": [{"email": "a"}, {"email": "b"}]}], "userEmail": "c"}'
+    df = spark.createDataFrame([(doc,), ("{not json}",), (None,)], "payload string")
+    m = of(
+        '[rules.t]\n"payload.score" = { strategy = "int_range", min = 7, max = 7 }\n"payload.label" = { strategy = "int_range", min = 7, max = 7, as_string = true }\n"payload.list" = { strategy = "empty_array" }\n'
+        '"payload.groups.members.email" = { strategy = "redact" }\n"payload__userEmail" = { strategy = "null" }\n"payload.ok" = { strategy = "int_range", min = 0, max = 0 }\n"payload.missing.x" = { strategy = "redact" }'
+    )
+    good, bad, none = [r[0] for r in m.apply(df, "t").collect()]
+    assert json.loads(good) == {"score": 7, "ok": False, "label": "7", "list": [], "groups": [{"members": [{"email": "REDACTED"}] * 2}], "userEmail": None}
+    assert bad == "{not json}" and none is None
+    assert jsonpath.targets('{"a":[[{"b":1}],{"b":[2]}]}', ("a", "b")) == ["1", "[2]"] and jsonpath.targets("[5]", ("3",)) == [None]
+
+
+def test_lengths_cut_generated_text(spark):
+    df = spark.createDataFrame([("x", "y", 1)], "a string, b string, n int")
+    m = Masking(of('[rules.t]\na = { strategy = "hash" }\nb = { strategy = "redact" }\nn = { strategy = "int_range", min = 12345, max = 12345 }').policy, lengths={"t": {"a": 5, "b": 3, "n": 2}})
+    assert tuple(m.apply(df, "s.t").collect()[0])[1:] == ("RED", 12345) and len(m.apply(df, "s.t").collect()[0].a) == 5
+
+
+def test_unique_within_domain(spark):
+    df = spark.createDataFrame([(str(i % 40),) for i in range(80)] + [(None,)], "v string")
+    spec = '{ strategy = "int_range", min = 0, max = 59, domain = "d", unique_within_domain = true }'
+    m = of(f"[rules.a]\nv = {spec}\n[rules.b]\nv = {spec}").with_unique({"a": df, "b": df})
+    a, b = ([tuple(r) for r in m.apply(df.select(F.col("v"), F.col("v").alias("o")), t).collect()] for t in "ab")
+    assert sorted(a, key=str) == sorted(b, key=str) and len({p for p, o in a if o is not None}) == 40 and [p for p, o in a if o is None] == [None]
+    small = of('[rules.a]\nv = { strategy = "int_range", min = 0, max = 3, domain = "d", unique_within_domain = true }')
+    got = domains.unique_mappings(small, {"a": df.where("v < '2'")}, retries=300)
+    assert next(iter(got.values())).count() == df.where("v < '2'").distinct().count()  # more values than pseudonyms: all get one all the same
+
+
+# -- scan, coverage, report, scaffold, seal -------------------------------------------------------------------------------
+
+
+def test_scan(spark):
+    line = "mail bob@example.com, 123-45-6789, card 4111 1111 1111 1111 and ghp_" + "a" * 24
+    df = spark.createDataFrame([(1, line), (2, "666-12-3456 000-12-3456 912-12-3456 123-00-4567 123-45-0000 4111 1111 1111 1112"), (3, None), (4, "api_key=AKIA" + "A" * 16)], "id int, t string")
+    rows = scan.findings(df, ["t"], key=F.col("id")).orderBy("row", "start").collect()
+    assert [(r.row, r.category) for r in rows] == [(1, "email"), (1, "ssn"), (1, "pan"), (1, "token"), (4, "token")]
+    assert all(line[r.start - 1 : r.end - 1] == r.snippet for r in rows[:4]) and rows[4].snippet.startswith("AKIA")
+    found = scan.report(df, ["t"], ScanSettings(fail_on_severity="medium", default_severity="low"))
+    assert found["total_findings"] == 5 and not found["failed"]
+    assert scan.report(df, ["t"], ScanSettings(thresholds={"token": 2}))["failed_categories"] == ["email", "ssn", "pan"]
+    assert scan.report(df.limit(0), ["t"])["total_findings"] == 0
+
+
+def test_coverage_and_names():
+    p = loads('[rules."public.users"]\nemail = { strategy = "email" }\n[sensitive_columns]\n"public.users" = ["employee_number"]')
+    assert coverage.coverage(p, {"public.users": ["id", "email", "ssn", "employee_number"]}) == {"detected": ["public.users.email", "public.users.employee_number", "public.users.ssn"], "covered": ["public.users.email"], "uncovered": ["public.users.employee_number", "public.users.ssn"]}
+    with pytest.raises(coverage.Uncovered):
+        coverage.require(p, {"public.users": ["ssn"]})
+    wanted = {"user_email": "email", "first-name": "first_name", "LNAME": "last_name", "company_name": "name", "cell": "phone", "ip_address": None, "shipping_zip": "redact", "zip": None, "zip_code": "redact", "api_key": "hash", "dob": "date_fuzz", "created_at": "datetime_fuzz", "uptime": "time_fuzz", "due_date": "date_fuzz", "id": None}
+    assert {c: coverage.likely_strategy(c) for c in wanted} == wanted
+
+
+def test_names_as_column(spark):
+    names = ["user_email", "first-name", "LNAME", "company_name", "ip_address", "shipping_zip", "zip_code", "pass", "x_at", "uptime", "id"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", coverage.likely_strategy_column(F.col("n")).alias("s")).collect()
+    assert [(r.n, r.s) for r in got] == [(n, coverage.likely_strategy(n)) for n in names]
+
+
+def test_report(spark):
+    m = of('[rules.t]\na = { strategy = "redact" }\n"j.x" = { strategy = "null" }\n"j.y" = { strategy = "null" }\n[row_filters.t]\ndelete = [{ column = "a", op = "eq", value = "drop" }]')
+    df = spark.createDataFrame([("drop", "{}"), (None, '{"x":1}'), ("REDACTED", None)], "a string, j string")
+    (row,) = report.counts(m, df, "t").collect()
+    assert (row.rows_processed, row.rows_dropped, row.cells_targeted) == (3, 1, 6)
+    assert report.cells_changed(m, df, "t").collect()[0].cells_changed == 2
+    events = report.events(m, df, "t").collect()
+    assert sorted(e.type for e in events) == ["CellChanged"] * 4 + ["RowDropped"]
+    whole = json.loads(report.to_json(report.summary([row], hardened=False, coverage={}, usage=[])))
+    assert whole["total_rows_dropped"] == 1 and "events" not in whole and "output_scan" not in whole and whole["per_table"]["t"]["cells_changed"] == 6
+
+
+def test_scaffold(spark):
+    df = spark.createDataFrame([(1, '{"profile": {"contact_email": "a@b.co"}, "meta": {"note": "12 Main Street"}, "n": 5}', "call 90210 now")], "id int, payload string, note string")
+    names = scaffold.draft({"app.events": df.withColumn("user_email", F.lit("x"))})
+    assert {c: s.strategy for c, s in names["app.events"].items()} == {"user_email": "email"}
+    rules = scaffold.draft({"app.events": df}, infer_json=True)
+    assert {c: s.strategy for c, s in rules["app.events"].items()} == {"payload.profile.contact_email": "email", "payload.meta.note": "redact", "note": "redact"}
+    assert loads(scaffold.to_toml(rules)).json_rules("app.events", "payload")
+
+
+def test_seal():
+    p, q = loads('[rules.t]\na = { strategy = "null" }'), loads('[rules.t]\na = { strategy = "redact" }')
+    one, two = seal.make(p, Profile()), seal.make(q, Profile())
+    assert seal.parse(one.line()) == one and seal.verdict(one.line(), one) == "trusted" and seal.verdict(one.line(), two) == "stale" and seal.verdict("-- x", one) == "none"
+    assert seal.make(p, Profile(hardened=True, salt="s")) != one and seal.digest(p, Profile(seed=1)) != seal.digest(p, Profile()) and seal.digest(p, Profile(), key=b"k") != one.sha256
+    assert seal.parse(seal.PREFIX + " v=1 version=2") is None
+
+
+def test_streams(spark, tmp_path):
+    spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "v string, n int").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("v string, n int").parquet(str(tmp_path / "in"))
+    plain = of('[rules.t]\nv = { strategy = "hash" }\n[row_filters.t]\ndelete = [{ column = "n", op = "eq", value = 2 }]')
+    streams.apply(plain, source, "t").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    unique = of('[rules.t]\nv = { strategy = "int_range", min = 0, max = 5, domain = "d", unique_within_domain = true }')
+    with pytest.raises(ValueError, match="with_unique"):
+        streams.apply(unique, source, "t")
+    seen = []
+    for letter in ("1", "2"):
+        streams.with_unique(unique, source, "t", str(tmp_path / "store"), lambda rows, n: seen.extend(tuple(r) for r in rows.collect())).option("checkpointLocation", str(tmp_path / f"c{letter}u")).trigger(availableNow=True).start().awaitTermination()
+    assert len({v for v, n in seen if n == 1}) == 1 and len({v for v, _ in seen}) == 2

@@ -91,8 +91,9 @@ def _fold(value: str) -> str:
     return value.translate(str.maketrans(UPPER, LOWER))
 
 
-def predicate(p: Predicate, columns: Sequence[str]) -> Column:
-    """The predicate over a row of the named columns. A column that isn't there makes it false, whatever the operator."""
+def predicate(p: Predicate, columns: Sequence[str], *, strict: bool = True) -> Column:
+    """The predicate over a row of the named columns. A column that isn't there makes it false, whatever the operator.
+    Unless ``strict``, it may be NULL instead of false, which lets a filter reach the scan."""
     by_name = {c.lower(): c for c in columns}
     name, path = (p.column, ()) if p.column.lower() in by_name else split_key(p.column)
     if name.lower() not in by_name:
@@ -103,7 +104,10 @@ def predicate(p: Predicate, columns: Sequence[str]) -> Column:
             return cell.isNull()
         if p.op == "not_null":
             return cell.isNotNull()
-        found = F.coalesce(_one(p, cell), F.lit(False))
+        found = _one(p, cell)
+        if not strict and p.op not in ("neq", "not_in"):
+            return found
+        found = F.coalesce(found, F.lit(False))
         return ~found if p.op in ("neq", "not_in") else found
     targets = jsonpath.read(cell, path)
     if p.op == "is_null":
@@ -114,17 +118,18 @@ def predicate(p: Predicate, columns: Sequence[str]) -> Column:
     return ~found if p.op in ("neq", "not_in") else found
 
 
-def _any(ps: Sequence[Predicate], columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, (predicate(p, columns) for p in ps))
+def _any(ps: Sequence[Predicate], columns: Sequence[str], strict: bool = True) -> Column:
+    return reduce(lambda a, b: a | b, (predicate(p, columns, strict=strict) for p in ps))
 
 
-def keep_row(f: RowFilter | None, columns: Sequence[str]) -> Column | None:
-    """Whether a row stays: some ``retain`` matches, if there are any, and no ``delete`` does. None if all rows stay."""
+def keep_row(f: RowFilter | None, columns: Sequence[str], *, strict: bool = True) -> Column | None:
+    """Whether a row stays: some ``retain`` matches, if there are any, and no ``delete`` does. None if all rows stay.
+    Unless ``strict``, NULL stands for no, as in a WHERE."""
     if f is None or not (f.retain or f.delete):
         return None
     parts = []
     if f.retain:
-        parts.append(_any(f.retain, columns))
+        parts.append(_any(f.retain, columns, strict))
     if f.delete:
         parts.append(~_any(f.delete, columns))
     return reduce(lambda a, b: a & b, parts)

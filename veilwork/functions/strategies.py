@@ -169,8 +169,18 @@ def _hash_value(spec: Spec, profile: Profile, value: str | None, k: int) -> str:
 # -- columns --------------------------------------------------------------------------------------------------------------
 
 
-def _fresh() -> Column:
-    """32 bytes a row from the operating system."""
+def draws_fresh(spec: Spec, profile: Profile) -> bool:
+    """Whether the strategy takes its seed from the operating system, as a column of its own (see ``fresh``)."""
+    return profile.hardened and not spec.domain and spec.strategy != "hash" and spec.strategy not in ("null", "redact", "blank", "empty_array", "empty_object")
+
+
+def fresh_name(ordinal: int) -> str:
+    return f"__fresh_{ordinal}"
+
+
+def fresh() -> Column:
+    """32 bytes a row from the operating system. Python functions can't stand inside higher-order ones, so a table gets
+    them as columns named ``fresh_name`` before its cells are masked."""
 
     @F.pandas_udf("binary")
     def draw(n: pd.Series) -> pd.Series:
@@ -183,7 +193,7 @@ def _seed(spec: Spec, profile: Profile, value: Column, ordinal: int, k: Column |
     if spec.domain:
         return domain_seed_column(profile, spec.salt, spec.strategy, spec.domain_key, value, k)
     if profile.hardened:
-        return _fresh()
+        return F.col(fresh_name(ordinal))
     seeds = [None if profile.seed is None else profile.seed * 1_000_003 + 2 * ordinal + i for i in range(2)]
     return sha(F.concat_ws(":", *((F.rand() if s is None else F.rand(s)).cast("string") for s in seeds)).cast("binary"))
 

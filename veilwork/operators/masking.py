@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilwork.functions import jsonpath, predicates
-from veilwork.functions.strategies import always_quoted, mask_column, mask_value
+from veilwork.functions.strategies import always_quoted, draws_fresh, fresh, fresh_name, mask_column, mask_value
 from veilwork.functions.stream import Profile
 from veilwork.operators import domains
 from veilwork.plans.policy import Policy, Spec
@@ -48,7 +48,7 @@ class Masking:
     # -- rows ---------------------------------------------------------------------------------------------------------
 
     def kept(self, df: DataFrame, table: str) -> DataFrame:
-        keep = predicates.keep_row(self.policy.row_filter(table), df.columns)
+        keep = predicates.keep_row(self.policy.row_filter(table), df.columns, strict=False)
         return df if keep is None else df.where(keep)
 
     # -- columns ------------------------------------------------------------------------------------------------------
@@ -71,11 +71,13 @@ class Masking:
             return df
         names = df.columns
         df, unique = domains.attached(self, df, table, plan)
+        seeds = {fresh_name(o): fresh() for p in plan.values() for o, s in p.specs() if draws_fresh(s, self.profile)}
+        df = df.withColumns(seeds) if seeds else df
         return df.select(*(self.column(plan[c], table, names, unique).alias(c) if c in plan else F.col(f"`{c}`") for c in names))
 
     def column(self, p: "Plan", table: str, columns: list[str], unique: Mapping[tuple, Column]) -> Column:
         cell, most = F.col(f"`{p.field.name}`"), self.most(table, p.field.name)
-        specs = [c.spec for c in p.cases] + [p.rule] * (p.rule is not None)
+        specs = [s for _, s in p.specs()]
 
         def masked(i: int, spec: Spec) -> Column:
             found = unique.get((p.field.name, i))
@@ -137,6 +139,10 @@ class Plan:
     cases: tuple
     paths: list
 
+    def specs(self) -> list[tuple[int, Spec]]:
+        """All specs, with numbers that tell them apart in the table."""
+        return [(self.ordinal * 64 + i, s) for i, s in enumerate([*(c.spec for c in self.cases), *([self.rule] if self.rule is not None else [])])]
+
 
 def any_of(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, parts)

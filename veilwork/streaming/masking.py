@@ -44,7 +44,8 @@ def with_unique(m: Masking, stream: DataFrame, table: str, store: str, write: Ca
                 moved = clash.select("value", mask_column(spec, m.profile, F.col("value"), k=k, most=most).cast("string").alias("pseudonym"))
                 given = domains.cut(given.join(clash.select("value"), "value", "left_anti").union(moved).dropDuplicates(["pseudonym"]))
                 k += 1
-            given.write.mode("overwrite").parquet(f"{place}/batch={number}")
+            if not given.isEmpty():  # a batch that comes again finds its values known
+                given.write.mode("append").parquet(place)
             mappings[key] = _known(spark, place)
         write(Masking(m.policy, m.profile, m.lengths, mappings).apply(rows, table), number)
 
