@@ -2,7 +2,7 @@
 
 Rows come in batches; each batch is a snapshot for those that follow. A row is reduced to the SHA-256 of its normalised
 text; only that travels. Of a snapshot's distinct digests each bucket (a range of the digest) gets a binary-fuse filter,
-built once and never changed, of about 9 bits a key. The distinct digests of a later batch probe the filter of their
+built once and never changed, of about 10 bits a key. The distinct digests of a later batch probe the filter of their
 bucket. Those that it denies are new for certain and are grouped among themselves only; those it allows join the
 snapshot's groups of the same digest. Texts of all digests that more than one row has are then compared byte by byte; a
 digest with different texts (none is known for SHA-256) is split by text.
