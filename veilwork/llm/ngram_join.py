@@ -8,9 +8,9 @@ enough of those is linked with nothing and leaves at once; for most of a corpus
 
 What remains is linked without listing the pairs of a group. For each prefix token of the first order one class of those
 that have it is the centre; every other class is compared with the centre it shares most prefix tokens with. Further
-rounds with other centres take what is not linked to its centre. Then whatever two classes share a prefix token and are
-still not known to be connected are compared, all of them, so no link between different components is lost. A
-comparison first intersects the prefixes under the other orders and verifies on the whole sets only what passes all.
+rounds with other centres take what is not linked to its centre. Then whatever two classes share a prefix token, can be
+similar by their sizes, by the tokens that are theirs alone and by how much of each comes after that token, and are still
+not known to be connected are compared, all of them, so no link between different components is lost. A comparison first intersects the prefixes under the other orders and verifies on the whole sets only what passes all.
 Components are then found by passing on the least number along links until nothing changes.
 
 Tokens are 64-bit hashes of word sequences, 48 bits of which are compared; classes are 64-bit hashes of sets. Text null,
@@ -20,20 +20,21 @@ take part; a component's number is its least id that is not null. Repeated rows
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common, sharedkeys
 
 ORDERS = 3
-ROUNDS = 3
+ROUNDS = 2
 SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -145,6 +146,23 @@ def components(links: DataFrame) -> DataFrame:
         label = lower.select("c", "component")
 
 
+def possible(x: Column, y: Column, percent: int) -> Column:
+    """Whether two sets can be similar enough, seen from a token that both have in their prefixes.
+
+    ``x`` and ``y`` have each set's size ``n``, how many tokens are its ``own``, and the token's place ``at`` in its order,
+    from 1. The sets share no more tokens than either has that aren't its own; and if this is the first token they share,
+    no more than come after it in either, and itself. At the first token that similar sets share both hold.
+    """
+    most = F.least(x["n"] - x["own"], y["n"] - y["own"])
+    both = x["n"] + y["n"]
+    needed = F.ceil(percent * both / (100 + percent))
+    return (100 * most >= percent * (both - most)) & (x["at"] + needed - 1 <= x["n"]) & (y["at"] + needed - 1 <= y["n"])
+
+
+def _size_bin(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(1.02))
+
+
 def _labelled(links: DataFrame) -> DataFrame:
     """A class that is known to be connected with each: the least neighbour's least neighbour. Not all that are connected agree."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -155,28 +173,34 @@ def _labelled(links: DataFrame) -> DataFrame:
 
 def link(active: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect all classes whose sets are similar enough."""
-    posted = active.select("c", "n", "own", F.explode("first").alias("token"))
+    seen = lambda n, own, at: F.struct(F.col(n).alias("n"), F.col(own).alias("own"), F.col(at).alias("at"))
+    posted = active.select("c", "n", "own", F.posexplode("first").alias("i", "token")).withColumn("at", F.col("own") + F.col("i") + 1).drop("i")
     rank = [(F.col("own") * 1_000_000 / F.col("n")).cast("long") * 65536 + F.pmod(F.xxhash64("c"), F.lit(65536))]
     rank += [F.xxhash64("c", F.lit(i)) for i in range(1, ROUNDS)]
-    centres = posted.groupBy("token").agg(F.count(F.lit(1)).alias("many"), *(F.min_by("c", r).alias(f"centre{i}") for i, r in enumerate(rank))).where("many > 1")
-    centres = common.cut(centres)
-    posted = common.cut(posted.select("c", "n", "token").join(centres, "token"))
+    chosen = [F.min_by(of, r).alias(f"centre_{of}{i}") for i, r in enumerate(rank) for of in ("c", "n", "own", "at")]
+    centres = common.cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("many"), *chosen).where("many > 1"))
+    posted = common.cut(posted.join(centres, "token"))
     links = None
     for i in range(ROUNDS):
-        met = posted.select("c", F.col(f"centre{i}").alias("centre")).where("c <> centre")
+        met = posted.where(possible(seen("n", "own", "at"), seen(f"centre_n{i}", f"centre_own{i}", f"centre_at{i}"), percent))
+        met = met.select("c", F.col(f"centre_c{i}").alias("centre")).where("c <> centre")
         if links is not None:
             met = _apart(met, _labelled(links), "c", "centre")
         most = met.groupBy("c", "centre").agg(F.count(F.lit(1)).alias("times")).groupBy("c").agg(F.max_by("centre", F.col("times") * 65536 + F.pmod(F.xxhash64("centre"), F.lit(65536))).alias("centre"))
         found = verify(most.select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct(), active, percent)
         links = common.cut(found if links is None else links.union(found))
     label = common.cut(components(links).withColumnRenamed("component", "label"))
-    one = posted.join(label, "c", "left").select("token", "c", "n", F.coalesce("label", "c").alias("label"), F.col("centre0").alias("centre"))
+    one = posted.join(label, "c", "left").select("token", "c", "n", "own", "at", F.coalesce("label", "c").alias("label"), F.col("centre_c0").alias("centre"))
     of_centre = label.select(F.col("c").alias("centre"), F.col("label").alias("centre_label"))
     one = common.cut(one.join(of_centre, "centre", "left").withColumn("astray", F.col("label") != F.coalesce("centre_label", "centre")))
-    a = one.where("astray").select("token", F.col("c").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("label_x"))
-    b = one.select("token", F.col("c").alias("y"), F.col("n").alias("n_y"), F.col("label").alias("label_y"))
-    fits = (F.col("label_x") != F.col("label_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-    rest = a.join(b, "token").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # what a class can be similar to has a size between bounds that its own tokens narrow; only those sizes are met
+    left = F.col("n") - F.col("own")
+    low, high = F.ceil(percent * F.col("n") / 100), F.floor(100 * left / percent) - F.col("n") + left
+    side = lambda z: [F.col("c").alias(z), *(F.col(k).alias(f"{k}_{z}") for k in ("n", "own", "at", "label"))]
+    a = one.where("astray").where((high >= low) & (high > 0)).select("token", *side("x"), F.explode(F.sequence(_size_bin(F.greatest(low, F.lit(1))), _size_bin(high))).alias("bin"))
+    b = one.select("token", *side("y"), _size_bin(F.col("n")).alias("bin"))
+    fits = (F.col("label_x") != F.col("label_y")) & possible(seen("n_x", "own_x", "at_x"), seen("n_y", "own_y", "at_y"), percent)
+    rest = a.join(b, ["token", "bin"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return common.cut(links.union(verify(rest, active, percent)))
 
 
