@@ -5,8 +5,8 @@ and a segmentation is drawn with probability in proportion to the product of its
 left to right, then pieces are sampled backwards from the end. The draws come from a counter-based generator seeded by the
 row's key, so a row gets the same segmentation on any machine, in any partition and however often it is computed.
 
-Pieces never cross the border before a run of spaces or around a line break, so the lattice falls apart into chunks there;
-forward tables are built once a chunk and sampled for all chunks of a batch at the same time.
+Pieces never cross the border before a run of spaces or around a line break, so the lattice falls apart into chunks there.
+The distinct chunks of a batch are filtered together, offset by offset, and all its chunks are sampled together.
 
 A space is the piece symbol U+2581; that symbol itself, and characters no piece has, are written as bytes. Nothing is
 normalised, so decoding gives back the exact text. Null and empty text have no pieces. A null key seeds as 0, rows with
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,7 +34,48 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK = re.compile(f"\n|{SPACE}| *[^ \n{SPACE}]+| +")
 ALPHA = 0.5
-MOST_ROWS = 2_000_000  # of forward tables that a worker keeps
+LITERAL = 1 << 20 | 1 << 16  # stands for U+2581 in a text: beyond all characters, so that no piece has it
+LONG = 60  # offsets after which sums are brought back into range
+
+
+class _Trie:
+    """The pieces as a trie whose edges lie in one hash table, so that many places of a text are followed at once."""
+
+    def __init__(self, pieces: dict[str, int]):
+        nodes: dict[tuple[int, int], int] = {}
+        ends: dict[int, int] = {}
+        for piece, number in pieces.items():
+            at = 0
+            for c in piece:
+                at = nodes.setdefault((at, ord(c)), len(nodes) + 1)
+            ends[at] = number
+        self.bits = max(4, (4 * len(nodes)).bit_length())
+        keys = np.fromiter((n << 21 | c for n, c in nodes), np.int64, len(nodes))
+        self.keys, self.to = np.full((1 << self.bits) + 64, -1, np.int64), np.zeros((1 << self.bits) + 64, np.int32)
+        for key, slot, node in zip(keys.tolist(), self._slot(keys).tolist(), nodes.values(), strict=True):
+            while self.keys[slot] >= 0:
+                slot += 1
+            self.keys[slot], self.to[slot] = key, node
+        self.piece = np.full(len(nodes) + 1, -1, np.int32)
+        self.piece[list(ends)] = list(ends.values())
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The nodes after one more character; -1 where there is none."""
+        key = node.astype(np.int64) << 21 | char
+        slot = self._slot(key)
+        out = np.where(self.keys[slot] == key, self.to[slot], -1)
+        open_ = np.flatnonzero((out < 0) & (self.keys[slot] >= 0))
+        while len(open_):
+            slot[open_] += 1
+            seen = self.keys[slot[open_]]
+            hit = seen == key[open_]
+            out[open_[hit]] = self.to[slot[open_[hit]]]
+            open_ = open_[~hit & (seen >= 0)]
+        return out
 
 
 class Pieces:
@@ -45,8 +85,10 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes_of: list[bytes] = []
         self.byte_id: dict[int, int] = {}
-        self.weight: dict[str, tuple[float, int]] = {}  # piece: log weight, id
-        for i in range(model.get_piece_size()):
+        log_weight: dict[str, float] = {}
+        ids: dict[str, int] = {}
+        size = model.get_piece_size()  # some pieces have scores far below any rank; they count as the last
+        for i in range(size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 value = int(piece[3:5], 16)
@@ -57,100 +99,160 @@ class Pieces:
             else:
                 if SPACE in piece.lstrip(SPACE) or "\n" in piece:
                     raise ValueError(f"piece {piece!r} crosses a chunk's border")
-                self.weight[piece] = (-alpha * math.log(2 + max(0.0, -model.get_score(i))), i)
+                log_weight[piece], ids[piece] = -alpha * math.log(2 + min(max(0.0, -model.get_score(i)), size)), i
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
-        self.byte_weight = -alpha * math.log(2 + len(self.bytes_of))
-        self.longest = max(map(len, self.weight))
-        self.runs: list[tuple[int, ...]] = []  # byte runs of characters, as ids beyond the vocabulary
-        self.run_of: dict[str, int] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.chunks: dict[str, int] = {}  # the row of a chunk's end
-        self.edges = array("d")  # of each row's arcs: the row's number plus the summed probability
-        self.lengths, self.ids = array("i"), array("i")  # code points an arc goes back, and its id
-        self.row_of_start = 0
-
-    def _run(self, c: str) -> int:
-        found = self.run_of.get(c)
-        if found is None:
-            found = self.run_of[c] = len(self.bytes_of) + len(self.runs)
-            self.runs.append(tuple(self.byte_id[b] for b in c.encode("utf-8", "surrogatepass")))
-        return found
-
-    def _add(self, chunk: str) -> int:
-        """The forward table of a chunk: one row a prefix, the arcs that end there and their probabilities."""
-        literal = chunk == SPACE
-        s = chunk.replace(" ", SPACE)
-        row = self.row_of_start
-        total = [0.0]
-        for i in range(1, len(s) + 1):
-            arcs = []
-            if not literal:
-                for j in range(max(0, i - self.longest), i):
-                    found = self.weight.get(s[j:i])
-                    if found is not None:
-                        arcs.append((total[j] + found[0], i - j, found[1]))
-            if literal or s[i - 1] not in self.weight:
-                arcs.append((total[i - 1] + self.byte_weight * len(s[i - 1].encode("utf-8", "surrogatepass")), 1, self._run(s[i - 1])))
-            most = max(a[0] for a in arcs)
-            parts = [math.exp(a[0] - most) for a in arcs]
-            whole = math.fsum(parts)
-            total.append(most + math.log(whole))
-            row += 1
-            at = 0.0
-            for part, arc in zip(parts, arcs, strict=True):
-                at += part / whole
-                self.edges.append(row + at)
-                self.lengths.append(arc[1])
-                self.ids.append(arc[2])
-            self.edges[-1] = row + 1
-        self.row_of_start = row + 1  # the start's own row has no arcs
-        self.chunks[chunk] = row
-        return row
+        self.trie = _Trie(ids)
+        self.longest = max(map(len, ids))
+        # all ways to write a prefix cover the same characters, so each may be given a factor: the inverse of its own weight
+        # alone. Sums then stay at 1 or more, and far from the largest double for LONG characters.
+        self.weight = np.ones(len(self.bytes_of))
+        for piece, w in log_weight.items():
+            alone = sum(log_weight.get(c, -alpha * math.log(2 + len(self.bytes_of)) * len(c.encode())) for c in piece)
+            self.weight[ids[piece]] = math.exp(w - alone)
+
+    def _arcs(self, chars: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Arcs of chunks laid out by offset: ``first[o]`` is where the o-th characters of the ``count[o]`` chunks that
+        have one begin, chunks being in descending order of length. Places of ends are laid out likewise, one offset later.
+
+        Returned: for each end where its arcs begin, and of each arc the place where it starts, its id and weight.
+        """
+        chunks = int(count[0])
+        ends = len(chars)  # places from 1 on; those at offset 0 are ``chunks`` many and come before
+        offset = np.repeat(np.arange(len(count)), count)
+        chunk = np.arange(ends) - first[offset]
+        node, at = np.zeros(ends, np.int32), np.arange(ends)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for size in range(1, self.longest + 1):
+            if size > 1:  # on to the next character, where the chunk has one
+                last = offset[at] + size - 1
+                inside = last < len(count)
+                at, node, last = at[inside], node[inside], last[inside]
+                inside = chunk[at] < count[last]
+                at, node, last = at[inside], node[inside], last[inside]
+                place = first[last] + chunk[at]
+            else:
+                place = at
+            node = self.trie.step(node, chars[place])
+            piece = np.where(node >= 0, self.trie.piece[node], -1)
+            if size == 1:
+                piece = np.where(piece >= 0, piece, -2)  # a character that no piece has alone
+            hit = piece != -1
+            found.append((place[hit], at[hit], piece[hit]))
+            alive = node >= 0
+            at, node = at[alive], node[alive]
+            if not len(at):
+                break
+        number = np.zeros(ends + 1, np.int64)
+        for place, _, _ in found:
+            number[place + 1] += 1
+        begin = np.cumsum(number)
+        source, ids = np.zeros(int(begin[-1]), np.int64), np.zeros(int(begin[-1]), np.int32)
+        filled = begin[:-1].copy()
+        for place, at, piece in found:
+            slot = filled[place]
+            # the place before character ``at``: the end of the one before, or the chunk's start
+            source[slot] = np.where(offset[at] > 0, chunks + first[np.maximum(offset[at] - 1, 0)] + chunk[at], chunk[at])
+            ids[slot] = np.where(piece == -2, -1 - chars[at], piece)
+            filled[place] += 1
+        return begin, source, ids, np.where(ids >= 0, self.weight[np.maximum(ids, 0)], 1.0)
 
     def encode(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
         """A sampled segmentation of each text, as ids."""
         parts = [CHUNK.findall(t) for t in texts]
-        if self.row_of_start > MOST_ROWS:
-            self._reset()
-        known, add = self.chunks, self._add
-        rows = np.array([known[c] if c in known else add(c) for p in parts for c in p], np.int64)
-        left = np.array([len(c) for p in parts for c in p], np.int64)
+        known: dict[str, int] = {}
+        which = np.array([known.setdefault(c, len(known)) for p in parts for c in p], np.int64)
         per_text = np.array([len(p) for p in parts], np.int64)
-        first = np.cumsum(per_text) - per_text
+        opening = np.cumsum(per_text) - per_text
         with np.errstate(over="ignore"):
             seed = scramble(np.array([k & (1 << 64) - 1 for k in keys], np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))
-            place = (np.arange(len(rows)) - np.repeat(first, per_text)).astype(np.uint64)
+            place = (np.arange(len(which)) - np.repeat(opening, per_text)).astype(np.uint64)
             state = scramble(np.repeat(seed, per_text) + place * np.uint64(0xD1B54A32D192ED03))
-        edges, lengths, ids = np.frombuffer(self.edges, float), np.frombuffer(self.lengths, np.int32), np.frombuffer(self.ids, np.int32)
-        active, steps = np.arange(len(rows)), []
+        out = [np.zeros(0, np.int32)] * len(texts)
+        if len(which):
+            ids, count = self._sample(list(known), which, state)
+            bounds = np.concatenate(([0], np.cumsum(count)))[np.append(opening, len(which))]
+            out = [self._spelled(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return out
+
+    def _sample(self, distinct: list[str], which: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks in order and how many each has; ``which``: the place of each chunk among the distinct ones."""
+        size = np.array([len(c) for c in distinct], np.int64)
+        order = np.argsort(-size, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        most = int(size.max())
+        count = np.array([np.searchsorted(-size[order], -o, side="left") for o in range(most)], np.int64)  # chunks longer than o
+        first = np.cumsum(count) - count
+        # characters by offset: a space is the piece symbol, the symbol itself is beyond all characters, so that no piece has it
+        flat = np.frombuffer("".join(distinct).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        flat = np.where(flat == 32, ord(SPACE), np.where(flat == ord(SPACE), LITERAL, flat))
+        starts = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(distinct)), size)
+        offset = np.arange(len(flat)) - starts[owner]
+        chars = np.empty(len(flat), np.int64)
+        chars[first[offset] + rank[owner]] = flat
+        begin, source, ids, weight = self._arcs(chars, first, count)
+        # forward sums, one offset after another
+        chunks = len(distinct)
+        total = np.ones(chunks + len(chars))
+        share = np.empty(len(source))
+        for o in range(most):
+            a, b = first[o], first[o] + count[o]
+            lo, hi = begin[a], begin[b]
+            share[lo:hi] = total[source[lo:hi]] * weight[lo:hi]
+            sums = total[chunks + a : chunks + b] = np.add.reduceat(share[lo:hi], begin[a:b] - lo)
+            share[lo:hi] /= np.repeat(sums, np.diff(begin[a : b + 1]))
+            if o % LONG == LONG - 1:  # of very long chunks, sums near here are brought back into range; only their ratios count
+                self._rescale(total, chunks, first, count, o)
+        summed = np.cumsum(share)
+        summed -= np.repeat(summed[begin[:-1]] - share[begin[:-1]], np.diff(begin))
+        # backward samples of all chunks at once
+        at = np.where(size[which] > 0, chunks + first[size[which] - 1] + rank[which], 0)
+        active, steps = np.arange(len(which)), []
         while len(active):
             with np.errstate(over="ignore"):
                 draw = (scramble(state[active] + np.uint64(len(steps)) * np.uint64(0xABC98388FB8FAC03)) >> np.uint64(12)).astype(float) / (1 << 52)
-            arc = np.minimum(np.searchsorted(edges, rows[active] + draw, side="right"), len(edges) - 1)
+            end = at[active] - chunks
+            arc, last = begin[end], begin[end + 1] - 1
+            going = np.flatnonzero((summed[arc] <= draw) & (arc < last))
+            while len(going):
+                arc[going] += 1
+                going = going[(summed[arc[going]] <= draw[going]) & (arc[going] < last[going])]
             steps.append((active, ids[arc]))
-            rows[active] -= lengths[arc]
-            left[active] -= lengths[arc]
-            active = active[left[active] > 0]
-        del edges, lengths, ids
-        count = np.zeros(len(rows), np.int64)
-        for at, _ in steps:
-            count[at] += 1
-        ends = np.cumsum(count)
-        out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
-        for k, (at, chosen) in enumerate(steps):
-            out[ends[at] - 1 - k] = chosen
-        bounds = np.concatenate(([0], ends))[np.concatenate((first, first[-1:] + per_text[-1:]))] if len(texts) else []
-        found = [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        return [self._spelled(x) for x in found]
+            at[active] = source[arc]
+            active = active[source[arc] >= chunks]
+        number = np.zeros(len(which), np.int64)
+        for some, _ in steps:
+            number[some] += 1
+        ends = np.cumsum(number)
+        out = np.zeros(int(ends[-1]), np.int32)
+        for k, (some, chosen) in enumerate(steps):
+            out[ends[some] - 1 - k] = chosen
+        return out, number
+
+    def _rescale(self, total: np.ndarray, chunks: int, first: np.ndarray, count: np.ndarray, o: int) -> None:
+        """Divides a chunk's last sums, as far as a piece may reach back, by its newest one."""
+        if o + 1 >= len(count) or not count[o + 1]:
+            return
+        n = int(count[o + 1])
+        newest = total[chunks + first[o] : chunks + first[o] + n].copy()
+        for back in range(min(self.longest, o + 1)):
+            a = chunks + first[o - back]
+            total[a : a + n] /= newest
 
     def _spelled(self, ids: np.ndarray) -> np.ndarray:
-        """Byte runs written out."""
-        if not len(ids) or ids.max() < len(self.bytes_of):
+        """Characters that no piece has as their bytes."""
+        if not len(ids) or ids.min() >= 0:
             return ids
-        n = len(self.bytes_of)
-        return np.array([j for i in ids.tolist() for j in ((i,) if i < n else self.runs[i - n])], np.int32)
+        ids = ids.copy()
+        wide: dict[int, tuple[int, ...]] = {}
+        for i in np.unique(ids[ids < 0]).tolist():
+            raw = (SPACE if -1 - i == LITERAL else chr(-1 - i)).encode("utf-8", "surrogatepass")
+            if len(raw) == 1:
+                ids[ids == i] = self.byte_id[raw[0]]
+            else:
+                wide[i] = tuple(self.byte_id[b] for b in raw)
+        return np.array([j for i in ids.tolist() for j in wide.get(i, (i,))], np.int32) if wide else ids
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
