@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilwork.functions import fakes, fuzz, jsonpath, predicates, strategies
 from veilwork.functions.stream import Profile
-from veilwork.operators import coverage, domains, report, scaffold, scan, seal
+from veilwork.operators import coverage, domains, report, scaffold, scan, seal, tables
 from veilwork.operators.masking import Masking
 from veilwork.plans.policy import LOCALES, Predicate, ScanSettings, Spec, loads
 from veilwork.streaming import masking as streams
@@ -256,3 +256,20 @@ def test_streams(spark, tmp_path):
     for letter in ("1", "2"):
         streams.with_unique(unique, source, "t", str(tmp_path / "store"), lambda rows, n: seen.extend(tuple(r) for r in rows.collect())).option("checkpointLocation", str(tmp_path / f"c{letter}u")).trigger(availableNow=True).start().awaitTermination()
     assert len({v for v, n in seen if n == 1}) == 1 and len({v for v, _ in seen}) == 2
+
+
+def test_stored_tables(spark, tmp_path):
+    path, once, twice = (str(tmp_path / n) for n in ("in", "once", "twice"))
+    spark.createDataFrame([("bob@example.com", 1), ("eve@example.com", 2)], "email string, n int").write.option("header", True).csv(path)
+    source = tables.Source("csv", path, {"header": "true"})
+    m = of('[rules.users]\nemail = { strategy = "hash", salt = "s" }\n[row_filters.users]\ndelete = [{ column = "n", op = "eq", value = 2 }]')
+    done = tables.mask_table(spark, m, "users", source, once, scan_output=True, fail_on_findings=True, strict_coverage=True)
+    assert (done["total_rows_processed"], done["total_rows_dropped"], done["output_scan"]["total_findings"]) == (2, 1, 0)
+    assert len(spark.read.parquet(once).first().email) == 64 and seal.parse(tables.read_seal(spark, once)) is not None
+    tables.mask_table(spark, m, "users", tables.Source("parquet", once), twice)  # the same policy made it: it passes through
+    assert spark.read.parquet(once).collect() == spark.read.parquet(twice).collect()
+    tables.mask_table(spark, of('[rules.users]\nemail = { strategy = "redact" }'), "users", tables.Source("parquet", once), twice, mode="overwrite", format="json")
+    assert spark.read.json(twice).first().email == "REDACTED"
+    with pytest.raises(tables.Findings, match="email"):
+        tables.mask_table(spark, of('[rules.users]\nn = { strategy = "null" }'), "users", source, str(tmp_path / "no"), scan_output=True, fail_on_findings=True)
+    assert not (tmp_path / "no").exists()

@@ -92,8 +92,8 @@ def findings(df: DataFrame, columns: Sequence[str] | None = None, settings: Scan
 def category_counts(df: DataFrame, columns: Sequence[str] | None = None, settings: ScanSettings = ScanSettings()) -> DataFrame:
     """One row per category searched: category, count. One pass and a sum; nothing is exploded."""
     columns = text_columns(df) if columns is None else list(columns)
-    sums = [F.coalesce(F.sum(sum((F.size(found(F.col(f"`{c}`"), k)) for c in columns), F.lit(0))), F.lit(0)).cast("long").alias(k) for k in settings.categories()]
-    listed = F.array(*(F.struct(F.lit(k).alias("category"), F.col(k).alias("count")) for k in settings.categories()))
+    sums = [F.coalesce(F.sum(sum((F.size(found(F.col(f"`{c}`"), k)) for c in columns), F.lit(0))), F.lit(0)).cast("long").alias(f"__count_{k}") for k in settings.categories()]
+    listed = F.array(*(F.struct(F.lit(k).alias("category"), F.col(f"__count_{k}").alias("count")) for k in settings.categories()))
     return df.agg(*sums).select(F.explode(listed).alias("x")).select("x.*")
 
 
