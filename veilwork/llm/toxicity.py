@@ -134,7 +134,9 @@ def fit(label: np.ndarray, words: list[np.ndarray], swapped: list[np.ndarray], *
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST_LABELLED, swap: float = SWAP) -> Model:
     rated = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("label"))
     taken = rated.orderBy(F.xxhash64(id_col), id_col).limit(most)
-    rows = features(docs.select(id_col, text_col).join(taken, id_col), text_col=text_col, label_col="label").toArrow()
+    chosen = docs.select(id_col, text_col).join(F.broadcast(taken), id_col)  # at most ``most`` rows of two numbers
+    chosen = chosen.groupBy(id_col).agg(F.max(text_col).alias(text_col), F.max("label").alias("label"))  # one row a document, however often it occurs
+    rows = features(chosen, text_col=text_col, label_col="label").toArrow()
     lists = [[np.asarray(x, np.int64) for x in rows.column(c).to_pylist()] for c in ("words", "swapped")]
     order = sorted(range(rows.num_rows), key=lambda i: (len(lists[0][i]), lists[0][i].tobytes()))  # the same sums whatever order rows come in
     return fit(rows.column("label").to_numpy()[order], *([side[i] for i in order] for side in lists), swap=swap)
