@@ -23,7 +23,7 @@ from . import common
 
 KEY_BITS = 48
 BLOCK_KEYS = 1 << 20
-BUCKET_KEYS = 2_000_000
+BUCKET_KEYS = 1_000_000
 LEAST_BUCKETS = 64
 SENT = "bucket int, keys binary, owners binary, classes binary, sizes binary"
 BACK = "bucket int, keys binary, counts binary, degrees binary, classes binary, sizes binary"
@@ -99,22 +99,31 @@ def _count(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     size[place] = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["sizes"]])
     first = np.cumsum([0, *map(len, classes)])
     owner = np.concatenate([place[f + np.frombuffer(x, "<u2").astype(np.int64)] for f, x in zip(first, rows["owners"], strict=False)])
-    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    flat = np.concatenate(keys)
     del keys
-    pair = np.unique(inverse.astype(np.uint64) << np.uint64(32) | owner.astype(np.uint64))
+    order = np.argsort(flat)
+    flat, owner = flat[order], owner[order]
+    fresh = np.concatenate(([True], flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, bool)
+    distinct = flat[fresh]
+    pair = np.sort((np.cumsum(fresh) - 1).astype(np.uint64) << np.uint64(32) | owner.astype(np.uint64))
+    pair = pair[np.concatenate(([True], pair[1:] != pair[:-1]))] if len(pair) else pair  # a class counts once a key
     inverse, owner = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
     degree = np.bincount(inverse, minlength=len(distinct))
     shared = degree[inverse] > 1
     inverse, owner = inverse[shared], owner[shared]
     if not len(owner):
         return pd.DataFrame({c.split()[0]: [] for c in BACK.split(", ")})
-    target = (every % buckets)[owner]
-    order = np.lexsort((inverse, owner, target))
-    inverse, owner, target = inverse[order], owner[order], target[order]
+    by_target = np.argsort(every % buckets, kind="stable")  # classes in the order in which they go back
+    turn = np.empty(len(every), np.int64)
+    turn[by_target] = np.arange(len(every))
+    back = np.sort(turn[owner].astype(np.uint64) << np.uint64(32) | inverse.astype(np.uint64))
+    inverse, owner = (back & np.uint64(0xFFFFFFFF)).astype(np.int64), by_target[(back >> np.uint64(32)).astype(np.int64)]
+    target = every[owner] % buckets
     edges = np.flatnonzero(np.diff(target, prepend=-1))
     out: dict[str, list] = {c.split()[0]: [] for c in BACK.split(", ")}
     for a, b in zip(edges, np.append(edges[1:], len(target)), strict=True):
-        used, count = np.unique(owner[a:b], return_counts=True)
+        starts = np.flatnonzero(np.concatenate(([True], owner[a + 1 : b] != owner[a : b - 1])))
+        used, count = owner[a:b][starts], np.diff(np.append(starts, b - a))
         level = np.minimum(np.log2(degree[inverse[a:b]]).astype(np.uint8), 255)
         low = np.ascontiguousarray(distinct[inverse[a:b]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8])
         for name, value in (("bucket", int(target[a])), ("keys", low.tobytes()), ("counts", count.astype("<u4").tobytes()), ("degrees", level.tobytes()), ("classes", every[used].tobytes()), ("sizes", size[used].tobytes())):
