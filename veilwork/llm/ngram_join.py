@@ -38,19 +38,6 @@ ROUNDS = 2
 SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-class _Words(dict):
-    """Hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = _Words()
-
-
 def scramble(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -63,7 +50,7 @@ def shingles(text: str, words: int) -> np.ndarray:
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return np.zeros(0, np.uint64)
-    h = np.array(list(map(_WORDS.__getitem__, parts)), np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
     size = min(words, len(h))
     with np.errstate(over="ignore"):
         out = np.full(len(h) - size + 1, size, np.uint64)
@@ -115,18 +102,16 @@ def verify(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            shared = lambda name, i: len(np.intersect1d(*(np.frombuffer(batch.column(f"{x}_{name}")[i].as_buffer(), "<u8") for x in "ab"), assume_unique=True))  # noqa: B023, E731
+            sizes = list(zip(batch.column("a_n").to_pylist(), batch.column("b_n").to_pylist(), strict=True))
             kept = []
-            for i in range(batch.num_rows):
-                m, n = column["a_n"][i], column["b_n"][i]
-                if 100 * min(m, n) < percent * max(m, n):
-                    continue
-                if any(not len(np.intersect1d(np.frombuffer(column[f"a_order{k}"][i], "<u8"), np.frombuffer(column[f"b_order{k}"][i], "<u8"), assume_unique=True)) for k in range(2, ORDERS + 1)):
+            for i, (m, n) in enumerate(sizes):
+                if 100 * min(m, n) < percent * max(m, n) or not all(shared(f"order{k}", i) for k in range(2, ORDERS + 1)):
                     continue
-                both = len(np.intersect1d(np.frombuffer(column["a_tokens"][i], "<u8"), np.frombuffer(column["b_tokens"][i], "<u8"), assume_unique=True))
+                both = shared("tokens", i)
                 if 100 * both >= percent * (m + n - both):
                     kept.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([column[x][i] for i in kept], pa.int64()) for x in "ab"], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(x).take(pa.array(kept, pa.int64())) for x in "ab"], ["a", "b"])
 
     return joined.mapInArrow(run, "a long, b long")
 
@@ -243,4 +228,17 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_ngram_join": op10_ngram_join}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op10_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS sh FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+often AS (SELECT x FROM e GROUP BY x HAVING count(*) > 1),
+f AS MATERIALIZED (SELECT e.* FROM e SEMI JOIN often USING (x)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM f a JOIN f b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * c >= 85 * (na + nb - c)),
+two AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS root FROM two UNION SELECT r.doc_id, two.b FROM r JOIN two ON r.root = two.a)
+SELECT s.doc_id, len(sh) AS n_shingles, coalesce(m.c, s.doc_id) AS component_id FROM s LEFT JOIN (SELECT doc_id, min(root) AS c FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+}
