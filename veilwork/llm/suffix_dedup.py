@@ -91,10 +91,10 @@ def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(s)
     wide = np.zeros(n + 8, np.uint64)
     wide[:n] = s
-    first = np.zeros(n, np.uint64)
-    for j in range(8):
-        first = first << np.uint64(8) | wide[j : n + j]
-    sa = np.argsort(first, kind="stable")
+    for size in (1, 2, 4):  # bytes that a number holds, doubled
+        wide[: n + 8 - size] = wide[: n + 8 - size] << np.uint64(8 * size) | wide[size:]
+    first = wide[:n]
+    sa = np.argsort(first)
     ordered = first[sa]
     fresh = np.concatenate(([True], ordered[1:] != ordered[:-1]))
     # a suffix's rank is the place of the last of its group; shorter ones come first since what is beyond the end counts as 0 and less
@@ -109,10 +109,11 @@ def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         after = suffix + h
         second = np.where(after < n, rank[np.minimum(after, n - 1)], n - 1 - after)  # beyond the end: the shorter the less
         group = rank[suffix]
-        order = np.lexsort((second, group))
-        suffix, second, group = suffix[order], second[order], group[order]
+        both = group.astype(np.uint64) << np.uint64(32) | (second + n).astype(np.uint64)  # shards are far below 2 ** 31 bytes
+        order = np.argsort(both)
+        suffix, both = suffix[order], both[order]
         sa[open_] = suffix
-        fresh = np.concatenate(([True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])))
+        fresh = np.concatenate(([True], both[1:] != both[:-1]))
         starts = np.flatnonzero(fresh)
         ends = np.append(starts[1:], len(open_))
         rank[suffix] = np.repeat(open_[ends - 1], ends - starts)
@@ -216,12 +217,16 @@ def _stretches(texts: DataFrame, shards: int) -> DataFrame:
                 raw = text.encode("utf-8", "surrogatepass")
                 place, h = anchors(np.frombuffer(raw, np.uint8))
                 first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-                last = np.append(first[1:], len(place)) - 1
+                last = np.append(first[1:], len(place)) - 1 + LENGTH
                 keys, wanted = keys_of_places(h[place[first]]), np.frombuffer(shared, "<u8")
-                at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-                for i in np.flatnonzero(wanted[at] == keys).tolist():
-                    table, rows = by_shard.setdefault(int(keys[i]) * shards >> sharedkeys.KEY_BITS, ({}, []))
-                    rows.append((table.setdefault(raw[first[i] : last[i] + LENGTH], len(table)), number, order, int(first[i])))
+                hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys)
+                shard = (keys[hit] * np.uint64(shards) >> np.uint64(sharedkeys.KEY_BITS)).tolist()
+                for k, a, b in zip(shard, first[hit].tolist(), last[hit].tolist(), strict=True):
+                    found_in = by_shard.get(k)
+                    if found_in is None:
+                        found_in = by_shard[k] = ({}, [])
+                    table, rows = found_in
+                    rows.append((table.setdefault(raw[a:b], len(table)), number, order, a))
             out: list[list] = [[] for _ in range(7)]
             for shard, (table, rows) in by_shard.items():
                 which, classes, ids, starts = zip(*rows, strict=True)
@@ -343,4 +348,16 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_suffix_dedup": op5_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_suffix_dedup": r"""
+WITH t AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM t)),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM w) WHERE first < doc_id),
+islands AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g)),
+runs AS MATERIALIZED (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM islands GROUP BY doc_id, run),
+pieces AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM runs UNION ALL SELECT doc_id, max(b), NULL FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * s + 1 AS BIGINT), CAST(2 * (coalesce(e, length(h) // 2) - s) AS BIGINT)), '' ORDER BY s) AS k FROM pieces JOIN t USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(from_hex(coalesce(k, h))) AS kept_sha256 FROM t LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+}
