@@ -309,7 +309,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col), F.lit(""))
     order = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     narrow = common.cut(docs.select(F.col(id_col).alias("doc"), order.alias("id"), F.xxhash64(text).alias("class"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha256")))
-    reps = narrow.groupBy("sha256").agg(F.min("id").alias("id"), F.first("class").alias("class"))
+    reps = common.cut(narrow.groupBy("sha256").agg(F.min("id").alias("id"), F.min("class").alias("class")))
     size = narrow.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = sharedkeys.buckets_for(size // ((LENGTH - PIECE + 2) // 2))
 
