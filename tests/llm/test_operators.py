@@ -261,6 +261,24 @@ def test_secret_scan(spark, none):
     assert secrets.secret_scan(none).count() == 0
 
 
+def redactions(spark, texts):
+    """By text: the kinds found, and the text redacted."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = secrets.secret_scan(df).join(df, "doc_id").select("text", "found", secrets.redact(F.col("text"), F.col("found"), "#").alias("out")).collect()
+    return {r.text: ([secrets.KINDS[s["rank"]] for s in r.found], r.out) for r in found}
+
+
+def test_weak_spans_that_overlap_base_spans_complement_others(spark):
+    hexes = "0123456789abcdef01234567"
+    want = {
+        f"client_id: {hexes}\npwd = hunter2x": (["ident", "hex", "key"], "#\n#"), f"client_id: {hexes}": (["hex"], "client_id: #"),
+        "https://hooks.example.com/in?token=abcdef123\npwd = hunter2x": (["endpoint", "assign", "key"], "#\n#"), "https://hooks.example.com/in?token=abcdef123": (["assign"], "https://hooks.example.com/in?#"),
+        f"user: alice pwd = xyz{hexes}-rest": (["ident", "key", "hex"], "# #"), f"pwd = xyz{hexes}-rest": (["hex"], "pwd = xyz#-rest"),
+        "token=user=alice, pwd = hunter2x": (["assign", "key"], "#, #"), f"client_id: {hexes}" + " " * 500 + "pwd = hunter2x": (["hex"], "client_id: #" + " " * 500 + "pwd = hunter2x"),
+    }
+    assert redactions(spark, want) == want
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é token=abcdef! x", [(2, 0, 14), (8, 2, 12)]), (2, "clean", [])], f"i int, t string, s {secrets.SPAN}")
     assert [r[0] for r in df.orderBy("i").select(secrets.redact(F.col("t"), F.col("s"), "#")).collect()] == ["é #! x", "clean"]

@@ -5,7 +5,8 @@ identifier) and ``hex`` (24 or more hexadecimal digits). Weak parts are ``ident`
 ``key`` (values named like a credential, or long mixed runs of letters and digits) and ``endpoint`` (addresses of
 services). A weak part is reported only if a part that complements it lies within ``scope`` code points: a key needs an
 identifier or an endpoint, an identifier or an endpoint needs a key. Base spans count as parts (access as an identifier,
-assign and hex as keys). A weak part that overlaps a base span is dropped, since that is reported.
+assign and hex as keys) of the weak parts beside them, not of those they overlap. A weak part that one base span covers is
+not reported again, but complements others as any part does; one that a base span covers in part is reported whole.
 
 Parts are linked by an interval join: both sides are dealt to bins of positions of their document, joined on row and bin
 and compared by distance. A bin has room for few parts, so no document, however long, makes a large group. Only rows that
@@ -79,13 +80,15 @@ def link(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     side = lambda rank: F.element_at(F.array(*(F.lit(SIDE[k]) for k in KINDS)), rank + 1)
     sides = F.array_distinct(F.transform(F.concat("base", "weak"), lambda s: side(s["rank"])))
     likely = scanned.where((F.size("weak") > 0) & (F.size(sides) > 1) & F.array_contains(sides, "key"))
-    weak = likely.select("row", F.explode("weak").alias("w")).select("row", "w", _bins(F.col("w.start"), F.col("w.end"), scope).alias("bin"))
+    bare = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] <= w["start"]) & (w["end"] <= b["end"])))
+    weak = likely.select("row", F.explode(bare).alias("w")).select("row", "w", _bins(F.col("w.start"), F.col("w.end"), scope).alias("bin"))
     parts = likely.select("row", F.explode(F.concat("base", "weak")).alias("p")).select("row", "p", _bins(F.col("p.start") - scope, F.col("p.end") + scope, scope).alias("bin"))
     needs = F.element_at(F.array(*(F.array(*(F.lit(s) for s in NEEDS.get(k, []))).cast("array<string>") for k in KINDS)), F.col("w.rank") + 1)
     near = (F.col("p.start") <= F.col("w.end") + scope) & (F.col("p.end") >= F.col("w.start") - scope)
     complete = F.array_contains(needs, side(F.col("p.rank")))
+    beside = (F.col("p.rank") >= len(BASE)) | (F.col("p.start") >= F.col("w.end")) | (F.col("p.end") <= F.col("w.start"))
     a, b = weak.alias("a"), parts.alias("b")
-    joined = a.join(b, (F.col("a.row") == F.col("b.row")) & (F.col("a.bin") == F.col("b.bin")) & near & complete, "left_semi")
+    joined = a.join(b, (F.col("a.row") == F.col("b.row")) & (F.col("a.bin") == F.col("b.bin")) & near & complete & beside, "left_semi")
     return joined.select("row", "w").distinct().groupBy("row").agg(F.collect_list("w").alias("added"))
 
 
@@ -96,9 +99,8 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     base = F.array_sort(F.concat(*(spans_of(F.col("t"), k) for k in BASE)))
     weak = F.concat(*(spans_of(F.col("t"), k) for k in WEAK))
-    clear = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    read = docs.select(F.col(id_col).alias("id"), row.alias("row"), text.alias("t")).select("id", "row", base.alias("base"), weak.alias("weak"))
-    scanned = common.cut(read.select("id", "row", "base", clear.alias("weak")))
+    read = docs.select(F.col(id_col).alias("id"), row.alias("row"), text.alias("t"))
+    scanned = common.cut(read.select("id", "row", base.alias("base"), weak.alias("weak")))
     added = link(scanned, scope)
     found = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(SPAN))))
     out = scanned.join(added, "row", "left").select(F.col("id").alias(id_col), "row", "base", found.alias("found"))
