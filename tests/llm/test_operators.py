@@ -279,6 +279,17 @@ def test_weak_spans_that_overlap_base_spans_complement_others(spark):
     assert redactions(spark, want) == want
 
 
+def test_unnamed_keys_are_whole_runs(spark):
+    run = ("Zq7+x/Wv_t-M" * 8)[:88]
+    url = "https://example.com/articles/2024/how-to-bake-the-best-bread-at-home"
+    want = {f"user: alice {run[:n]} end": (["ident", "key"], "# # end") for n in (40, 41, 64, 88)} | {
+        f"user: alice {run[:39]} end": ([], f"user: alice {run[:39]} end"), f"alice {run} end": ([], f"alice {run} end"), f"see {url} there": ([], f"see {url} there"), f"user: {run}": ([], f"user: {run}"),
+        f"{url} {run}": (["endpoint", "key"], "# #"), f"user: alice {run[:50]}pwd = hunter2x!": (["ident", "key"], "# #!"), f"user: alice {run[:38]}pwd = hunter2x!": (["ident", "key"], "# #!"),
+        "see https://example.com/in?pwd=hunter2x there": (["endpoint", "key"], "see # there"), "a" * 5000 + "G user: alice": (["hex", "key", "ident"], "# #"),
+    }
+    assert redactions(spark, want) == want
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é token=abcdef! x", [(2, 0, 14), (8, 2, 12)]), (2, "clean", [])], f"i int, t string, s {secrets.SPAN}")
     assert [r[0] for r in df.orderBy("i").select(secrets.redact(F.col("t"), F.col("s"), "#")).collect()] == ["é #! x", "clean"]
