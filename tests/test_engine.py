@@ -258,6 +258,18 @@ def test_streams(spark, tmp_path):
     assert len({v for v, n in seen if n == 1}) == 1 and len({v for v, _ in seen}) == 2
 
 
+def test_streams_give_every_value_a_pseudonym_of_its_own(spark, tmp_path):
+    unique = of('[rules.t]\nv = { strategy = "int_range", min = 0, max = 39, domain = "d", unique_within_domain = true }')
+    seen = {}
+    for n in range(2):
+        spark.createDataFrame([(f"v{i}", i) for i in range(16 * n, 16 * n + 18)], "v string, n int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema("v string, n int").parquet(str(tmp_path / "in"))
+        streams.with_unique(unique, source, "t", str(tmp_path / "store"), lambda rows, _: [seen.setdefault(r.n, set()).add(r.v) for r in rows.collect()]).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 34 and all(len(x) == 1 and None not in x for x in seen.values()) and len(set.union(*seen.values())) == 34
+    stored = [tuple(r) for r in spark.read.parquet(str(tmp_path / "store" / "0")).select("value", "pseudonym").collect()]
+    assert len(stored) == len({v for v, _ in stored}) == len({p for _, p in stored}) == 34
+
+
 def test_stored_tables(spark, tmp_path):
     path, once, twice = (str(tmp_path / n) for n in ("in", "once", "twice"))
     spark.createDataFrame([("bob@example.com", 1), ("eve@example.com", 2)], "email string, n int").write.option("header", True).csv(path)

@@ -50,9 +50,11 @@ def unique_mappings(m: "Masking", tables: Mapping[str, DataFrame], retries: int
     return {key: assign(m, spec, most, rows.distinct(), retries) for key, (spec, most, rows) in values.items()}
 
 
-def assign(m: "Masking", spec: Spec, most: int | None, values: DataFrame, retries: int = RETRIES) -> DataFrame:
+def assign(m: "Masking", spec: Spec, most: int | None, values: DataFrame, retries: int = RETRIES, taken: DataFrame | None = None) -> DataFrame:
+    """(value, pseudonym) of each of ``values``, which are distinct. Those of ``taken`` are given to none while candidates last."""
     candidate = lambda k: mask_column(spec, m.profile, F.col("value"), k=k, most=most)
-    open_ = cut(values.select("value", F.lit(0).cast("long").alias("k"), candidate(0).cast("string").alias("pseudonym")))
+    free = lambda rows: rows if taken is None else rows.join(taken.select("pseudonym"), "pseudonym", "left_anti").select("value", "k", "pseudonym")
+    open_ = cut(free(values.select("value", F.lit(0).cast("long").alias("k"), candidate(0).cast("string").alias("pseudonym"))))
     settled = None
     k = 0
     while True:
@@ -69,7 +71,7 @@ def assign(m: "Masking", spec: Spec, most: int | None, values: DataFrame, retrie
             return cut(settled.union(left.select("value", candidate(0).cast("string").alias("pseudonym"))))
         # a value that lost its candidate to another may still win a later one of the same stretch, so the stretch is seen again
         tried = left.select("value", F.explode(F.sequence(F.lit(k + 1).cast("long"), F.lit(min(k + AHEAD, retries + 1)).cast("long"))).alias("k"))
-        open_ = cut(tried.select("value", "k", candidate(F.col("k")).cast("string").alias("pseudonym")))
+        open_ = cut(free(tried.select("value", "k", candidate(F.col("k")).cast("string").alias("pseudonym"))))
         if open_.join(settled.select("pseudonym"), "pseudonym", "left_anti").isEmpty():
             k += AHEAD
 

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from veilwork.functions.strategies import mask_column
 from veilwork.operators import domains
 from veilwork.operators.masking import Masking
 
@@ -35,15 +34,7 @@ def with_unique(m: Masking, stream: DataFrame, table: str, store: str, write: Ca
             values = rows.select(F.col(f"`{name}`").cast("string").alias("value")).where("value IS NOT NULL").distinct()
             known = _known(spark, place)
             fresh = values.join(known.select("value"), "value", "left_anti")
-            given = domains.assign(m, spec, most, fresh)
-            # what a value before this batch has is given anew until it is free
-            k = 1
-            while not (clash := given.join(known.select("pseudonym"), "pseudonym", "left_semi")).isEmpty():
-                if k > domains.RETRIES:
-                    break
-                moved = clash.select("value", mask_column(spec, m.profile, F.col("value"), k=k, most=most).cast("string").alias("pseudonym"))
-                given = domains.cut(given.join(clash.select("value"), "value", "left_anti").union(moved).dropDuplicates(["pseudonym"]))
-                k += 1
+            given = domains.assign(m, spec, most, fresh, taken=known)
             if not given.isEmpty():  # a batch that comes again finds its values known
                 given.write.mode("append").parquet(place)
             mappings[key] = _known(spark, place)
