@@ -82,6 +82,30 @@ def test_cost_balance():
     assert packing.assign([], []) == [] and packing.powers(13) == [8, 4, 1]
 
 
+def test_documents_are_cut_only_if_no_sequence_has_room():
+    def brute(sizes, rooms):
+        left, spent, out = list(rooms), [0.0] * len(rooms), [[] for _ in rooms]
+        for item in sorted(range(len(sizes)), key=lambda i: (-packing.cost(sizes[i]), i)):
+            at = 0
+            while at < sizes[item]:
+                rest = sizes[item] - at
+                _, i = min((spent[i], i) for i in range(len(rooms)) if left[i] >= rest or (max(left) < rest and left[i]))
+                n = min(rest, left[i])
+                out[i].append((item, at, n))
+                left[i], spent[i], at = left[i] - n, spent[i] + packing.cost(n), at + n
+        return out
+
+    assert packing.assign([100] + [60] * 12, [100] + [60] * 12) == brute([100] + [60] * 12, [100] + [60] * 12)
+    for seed in range(20):
+        r = random.Random(seed)
+        sizes = [min(2047, 1 + int(r.lognormvariate(6, 1.2))) for _ in range(400)]
+        whole, rest = divmod(sum(sizes), 2048)
+        rooms = [2048] * whole + packing.powers(rest)
+        assert packing.assign(sizes, rooms) == brute(sizes, rooms), seed
+    small = packing.assign([60] * 12 + [100], [60] * 12 + [100])
+    assert [p for p in small if p] == small and all(len(p) == 1 for p in small)
+
+
 # -- 9: exact duplicates ----------------------------------------------------------------------------------------------------
 
 

@@ -2,8 +2,8 @@
 
 A document's tokens are cut into pieces of at most a sequence. A piece of ``n`` tokens is estimated to cost
 ``linear * n + quadratic * n * n`` (attention is masked to the piece). Within a block of documents, whole sequences come
-first; the remainders go, in descending order of cost, each to the sequence of lowest cost with remaining capacity. If
-none of the few cheapest has room for all of it, it is cut and goes on in the next cheapest. Blocks are bounded, so a
+first; the remainders go, in descending order of cost, each to the sequence of lowest cost that has room for all of it. If
+none of the block has, it is cut: the cheapest takes what it has room for, and the rest goes on in the same way. Blocks are bounded, so a
 task holds a block of tokens and no more; what fills no whole sequence is carried to the next block. At a partition's
 end the rest, under one sequence, is laid out in sequences whose lengths are powers of two, which need no padding.
 
@@ -30,40 +30,34 @@ CAPACITY = 2048
 END = np.array([1], "<u4").tobytes()
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 BLOCK = 1 << 20  # tokens
-LOOK = 8  # of the cheapest sequences, how many are asked for room before a piece is cut
 
 
 def cost(n: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> float:
     return linear * n + quadratic * n * n
 
 
-def assign(sizes: list[int], rooms: list[int], *, linear: float = LINEAR, quadratic: float = QUADRATIC, look: int = LOOK) -> list[list[tuple[int, int, int]]]:
+def assign(sizes: list[int], rooms: list[int], *, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[list[tuple[int, int, int]]]:
     """For each sequence, with room ``rooms[i]``, its pieces (item, start in the item, length); the rooms hold the sizes exactly."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in rooms]
-    left = list(rooms)
+    left, spent = np.array(rooms, np.int64), np.zeros(len(rooms))
     heap = [(0.0, i) for i in range(len(rooms)) if rooms[i]]
     heapq.heapify(heap)
     for item in sorted(range(len(sizes)), key=lambda i: (-cost(sizes[i], linear, quadratic), i)):
         at, rest = 0, sizes[item]
         while rest:
-            asked, found = [], None
-            while heap and len(asked) < look and found is None:
-                top = heapq.heappop(heap)
-                if left[top[1]] >= rest:
-                    found = top
-                else:
-                    asked.append(top)
-            if found is None:  # cut it: the cheapest sequence takes what it has room for
-                found = asked.pop(0)
-            for top in asked:
-                heapq.heappush(heap, top)
-            spent, i = found
-            n = min(rest, left[i])
+            while heap[0][0] != spent[heap[0][1]] or not left[heap[0][1]]:  # it was given more since
+                heapq.heappop(heap)
+            i = heap[0][1]
+            if left[i] < rest:  # the cheapest that has room, or else it is cut and the cheapest of all takes what it can
+                roomy = np.flatnonzero(left >= rest)
+                i = int(roomy[spent[roomy].argmin()]) if len(roomy) else i
+            n = min(rest, int(left[i]))
             out[i].append((item, at, n))
             left[i] -= n
+            spent[i] += cost(n, linear, quadratic)
             at, rest = at + n, rest - n
             if left[i]:
-                heapq.heappush(heap, (spent + cost(n, linear, quadratic), i))
+                heapq.heappush(heap, (float(spent[i]), i))
     return out
 
 
