@@ -1,7 +1,7 @@
 """Scanning for personal data that is left: e-mail addresses, social security numbers, card numbers, tokens.
 
 Every string column is searched whole. Matches are found by built-in regular expressions; their places follow from the
-lengths of what is matched and what stands between. A token's patterns are tried in their order and a later match that
+running lengths of what is matched and what stands between, so a text of many matches takes no more for each of them. A token's patterns are tried in their order and a later match that
 overlaps an earlier pattern's is not counted. Counts are summed per task and category before anything is shuffled; sample
 places are the first few by row, taken from each task's first few.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilwork.functions import arrays
 from veilwork.functions.predicates import java_pattern
 from veilwork.plans.policy import SEVERITIES, ScanSettings
 
@@ -35,20 +36,37 @@ PATTERNS = {
 SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
+def _pattern(pattern: str) -> str:
+    return "(?U)" + java_pattern(pattern)
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Places (from 0, in code points, end exclusive) and texts of a pattern's matches."""
-    pattern = "(?U)" + java_pattern(pattern)
+    pattern = _pattern(pattern)
     matched = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"), matched.alias("text"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        end = begin + F.length(x["text"])
-        span = F.struct(begin.alias("start"), end.alias("end"), x["text"].alias("text"))
-        return F.struct(F.coalesce(end, begin).alias("at"), F.when(x["text"].isNotNull(), F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
+    def placed(all_: Column) -> Column:
+        before = arrays.prefix_sums(all_, lambda x: x["gap"] + F.coalesce(F.length(x["text"]), F.lit(0)))
+        both = F.filter(F.arrays_zip(all_.alias("piece"), before.alias("at")), lambda z: z["piece"]["text"].isNotNull())
+        start = lambda z: z["at"] + z["piece"]["gap"]
+        return F.transform(both, lambda z: F.struct(start(z).alias("start"), (start(z) + F.length(z["piece"]["text"])).alias("end"), z["piece"]["text"].alias("text")))
+
+    return F.when(text.rlike(pattern), arrays.let(pieces, placed)).otherwise(F.array().cast(SPAN))
+
+
+def _clear(new: Column, old: Column) -> Column:
+    """``old`` and what of ``new`` overlaps none of it. In order of starts (old) and ends (new), an old match that lies
+    before a new one overlaps it if it ends after the new one's start."""
+    event = lambda s, at, first: F.struct(at.alias("at"), F.lit(first).alias("old"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))
+    events = F.array_sort(F.concat(F.transform(old, lambda s: event(s, s["start"], 1)), F.transform(new, lambda s: event(s, s["end"], 0))))
+
+    def kept(all_: Column) -> Column:
+        reach = arrays.prefix_greatest(all_, lambda e: F.when(e["old"] == 1, e["end"]).otherwise(-1))
+        both = F.filter(F.arrays_zip(all_.alias("e"), reach.alias("reach")), lambda z: (z["e"]["old"] == 1) | (z["reach"] <= z["e"]["start"]))
+        return F.transform(both, lambda z: F.struct(z["e"]["start"].alias("start"), z["e"]["end"].alias("end"), z["e"]["text"].alias("text")))
 
-    return F.when(text.rlike(pattern), F.aggregate(pieces, start, step, lambda s: s["found"])).otherwise(F.array().cast(SPAN))
+    return F.when((F.size(new) == 0) | (F.size(old) == 0), F.concat(old, new)).otherwise(arrays.let(events, kept))
 
 
 def luhn(text: Column) -> Column:
@@ -64,15 +82,29 @@ def plausible_ssn(text: Column) -> Column:
 def found(text: Column, category: str) -> Column:
     """A category's matches in a text, by place."""
     if category == "token":
-        parts = [spans(text, p) for p in PATTERNS["token"]]
-        clear = lambda new, old: F.concat(old, F.filter(new, lambda n: ~F.exists(old, lambda o: (o["start"] < n["end"]) & (n["start"] < o["end"]))))
-        return F.array_sort(reduce(lambda old, new: clear(new, old), parts))
-    matches = spans(text, PATTERNS[category][0])
+        return F.array_sort(reduce(lambda old, new: arrays.let(F.struct(old.alias("old"), new.alias("new")), lambda x: _clear(x["new"], x["old"])), (spans(text, p) for p in PATTERNS["token"])))
+    return F.filter(spans(text, PATTERNS[category][0]), lambda m: _sound(m["text"], category))
+
+
+def _sound(match: Column, category: str) -> Column:
     if category == "ssn":
-        return F.filter(matches, lambda m: plausible_ssn(m["text"]))
+        return plausible_ssn(match)
     if category == "pan":
-        return F.filter(matches, lambda m: F.length(F.regexp_replace(m["text"], "[^0-9]", "")).between(13, 19) & luhn(m["text"]))
-    return matches
+        return F.length(F.regexp_replace(match, "[^0-9]", "")).between(13, 19) & luhn(match)
+    return F.lit(True)
+
+
+def count(text: Column, category: str) -> Column:
+    """How many matches of a category a text has. Places are only looked for where tokens of several patterns may overlap."""
+    times = [F.coalesce(F.regexp_count(text, F.lit(_pattern(p))), F.lit(0)) for p in PATTERNS[category]]
+    if category == "email":
+        return F.when(F.contains(text, F.lit("@")), times[0]).otherwise(0)
+    if category == "token":
+        rare = [F.when(F.contains(text, F.lit(mark)), n).otherwise(0) for mark, n in zip(("eyJ", "AKIA", "gh", "xox", ""), times, strict=True)]
+        several = lambda n: F.aggregate(F.transform(n, lambda x: (x > 0).cast("int")), F.lit(0), lambda s, x: s + x) > 1
+        return arrays.let(F.array(*rare), lambda n: F.when(several(n), F.size(found(text, category))).otherwise(F.aggregate(n, F.lit(0), lambda s, x: s + x)))
+    matched = F.regexp_extract_all(text, F.lit(_pattern(PATTERNS[category][0])), F.lit(0))
+    return F.when(text.rlike("[0-9][ -]?[0-9]"), F.size(F.filter(matched, lambda m: _sound(m, category)))).otherwise(0)
 
 
 def text_columns(df: DataFrame) -> list[str]:
@@ -92,7 +124,7 @@ def findings(df: DataFrame, columns: Sequence[str] | None = None, settings: Scan
 def category_counts(df: DataFrame, columns: Sequence[str] | None = None, settings: ScanSettings = ScanSettings()) -> DataFrame:
     """One row per category searched: category, count. One pass and a sum; nothing is exploded."""
     columns = text_columns(df) if columns is None else list(columns)
-    sums = [F.coalesce(F.sum(sum((F.size(found(F.col(f"`{c}`"), k)) for c in columns), F.lit(0))), F.lit(0)).cast("long").alias(f"__count_{k}") for k in settings.categories()]
+    sums = [F.coalesce(F.sum(sum((count(F.col(f"`{c}`"), k) for c in columns), F.lit(0))), F.lit(0)).cast("long").alias(f"__count_{k}") for k in settings.categories()]
     listed = F.array(*(F.struct(F.lit(k).alias("category"), F.col(f"__count_{k}").alias("count")) for k in settings.categories()))
     return df.agg(*sums).select(F.explode(listed).alias("x")).select("x.*")
 
