@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -319,6 +320,35 @@ def test_redaction(spark):
     assert [r[0] for r in df.orderBy("i").select(secrets.redact(F.col("t"), F.col("s"), "#")).collect()] == ["é #! x", "clean"]
 
 
+def test_redaction_over_stretches(spark):
+    """Long texts, spans that overlap, touch, lie at the bounds of stretches or span several of them."""
+
+    def brute(text, found):
+        out, at = [], 0
+        for a, _, b in found:
+            if a >= at:
+                out += [text[at:a], "#"]
+            at = max(at, b)
+        return "".join(out) + text[at:]
+
+    r, cases = random.Random(11), []
+    for n in range(30):
+        text = "".join(r.choice("abé😀\n") for _ in range(r.choice([1, 1023, 1024, 1025, 5000])))
+        cuts = [min(len(text), max(0, r.choice([0, 1024, 2048, len(text)]) + r.randrange(-3, 4))) if r.random() < 0.5 else r.randrange(len(text) + 1) for _ in range(40)]
+        cases.append((n, text, sorted((min(a, b), 0, max(a, b)) for a, b in zip(cuts[::2], cuts[1::2], strict=True) if a != b)))
+    df = spark.createDataFrame(cases, f"i int, t string, s {secrets.SPAN}")
+    got = dict(df.select("i", secrets.redact(F.col("t"), F.col("s"), "#").alias("out")).collect())
+    assert got == {i: brute(t, s) for i, t, s in cases}
+
+
+def test_a_text_of_a_hundred_thousand_matches(spark):
+    text = "token=abcdefgh user: alice pwd = hunter2x x 0123456789abcdef01234567 " * 25_000
+    begun = time.monotonic()
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    found = secrets.secret_scan(df).join(df, "doc_id").select(F.size("base").alias("base"), F.size("found").alias("found"), secrets.redact(F.col("text"), F.col("found"), "#").alias("out")).first()
+    assert (found.base, found.found, found.out) == (50_000, 100_000, "# # # x # " * 25_000) and time.monotonic() - begun < 60
+
+
 # -- 8: quality -------------------------------------------------------------------------------------------------------------
 
 
