@@ -2,7 +2,8 @@
 
 Each stage takes the documents its predecessor kept, as read back from Parquet, and returns documents of the same columns;
 the last returns the packed pieces. Rows are told apart by a running number, so rows with equal or null ids are each
-decided for themselves. Null texts fail the quality rules, empty tables pass through empty.
+decided for themselves; the numbered table is written once, as a number that were computed again could fall on another row.
+Null texts fail the quality rules, empty tables pass through empty.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ ROW = "_row_of_stage"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    return common.cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def _keeping(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
