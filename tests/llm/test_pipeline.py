@@ -62,6 +62,37 @@ def test_stages_equal_a_plain_version(spark, folder, tmp_path):
     assert sum(r.length for r in whole) == df.groupBy().sum("length").first()[0]
 
 
+def test_rows_keep_their_numbers_when_cores_change(spark, folder, monkeypatch):
+    """The split of files follows the number of cores, which may change between an operator and the join with its result."""
+    place, _ = folder
+    key = "spark.sql.leafNodeDefaultParallelism"
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    df = spark.read.parquet(f"{place}/documents.parquet")
+    stages = corpus_pipeline.STAGES[:4]
+    want = [sorted(map(str, stage(spark, df, place).collect())) for _, stage in stages]
+
+    def changing(operator):
+        def run(*given, **more):
+            out = operator(*given, **more)
+            spark.conf.set(key, 1)
+            spark.conf.set(sizes[0], "1k")
+            spark.conf.set(sizes[1], "0")
+            return out
+
+        return run
+
+    for name in ("quality", "exact_dedup", "ngram_join", "secret_scan"):
+        monkeypatch.setattr(corpus_pipeline, name, changing(getattr(corpus_pipeline, name)))
+    for (name, stage), rows in zip(stages, want, strict=True):
+        spark.conf.set(key, 7)
+        try:
+            got = sorted(map(str, stage(spark, df, place).collect()))
+        finally:
+            for k in (key, *sizes):
+                spark.conf.unset(k)
+        assert got == rows, name
+
+
 def redacted(text):
     """Base spans only, with overlapping ones as one; these texts have no weak parts that complement each other."""
     spans = [(s, e) for s, _, e in brute_base(text)]
