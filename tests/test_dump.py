@@ -152,3 +152,23 @@ def test_errors():
     with pytest.raises(sqltext.DumpError):
         sqltext.rows("(1, 'x", 0)
     assert sqltext.copy_encoded(sqltext.copy_decoded(r"a\tb\\n\n")) == r"a\tb\\n\n" and sqltext.copy_decoded("\\N") is None
+
+
+COMMENTED = """CREATE TABLE users (id int, -- the user's id
+  email varchar(12), /* ssn, phone (
+  or not */ ssn text -- it's "secret",
+);
+INSERT INTO users VALUES (1, 'alice@example.com', '123-45-6789');
+"""
+
+
+def test_comments_in_a_definition_hide_no_column(spark, files):
+    found = next(s for s in sqltext.segments(COMMENTED.encode().splitlines(True)) if s.kind == "create")
+    assert found.more["definition"] == [("id", None), ("email", 12), ("ssn", None)]
+    (files / "c.sql").write_text(COMMENTED)
+    (files / "p.toml").write_text('[rules.users]\nemail = { strategy = "redact" }\n')
+    code, text = run(spark, files, "--strict-coverage", name="c.sql")
+    assert code == 2 and text is None
+    (files / "p.toml").write_text('[rules.users]\nemail = { strategy = "redact" }\nssn = { strategy = "redact" }\n')
+    code, text = run(spark, files, "--strict-coverage", name="c.sql")
+    assert code == 0 and "VALUES (1, 'REDACTED', 'REDACTED');" in text and "-- the user's id" in text

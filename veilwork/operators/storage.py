@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where that is unset, a default."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/veilwork"
+    """The session's spark.checkpoint.dir. Only a session on one machine may leave it unset and gets a local folder."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named is None and not (context.master or "").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or "/tmp/checkpoints/veilwork"
 
 
 def cut(frame: DataFrame) -> DataFrame:
