@@ -7,7 +7,8 @@ import re
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.functions import jsonpath
@@ -16,6 +17,8 @@ from veilwork.plans.policy import Spec
 
 SAMPLE_ROWS = 5
 MAX_DEPTH = 24
+#: The most bytes of a text that is looked at for an address and for an e-mail address.
+MOST_ADDRESS, MOST_EMAIL = 512, 320
 #: A postal code, a line that reads like a street.
 POSTAL_CODE = re.compile(r"\b\d{5}(?:-\d{4})?\b")
 STREET = re.compile(r"(?i)^\s*\d+\s+\S.+\s+(st|street|ave|avenue|rd|road|blvd|boulevard|ln|lane|dr|drive|ct|court|pl|place|way)\.?\s*$")
@@ -28,14 +31,24 @@ def from_text(text: str) -> Spec | None:
     t = text.strip()
     if not t or "\n" in t:
         return None
-    if len(t.encode()) <= 512 and (POSTAL_CODE.search(t) or STREET.match(t)):
+    if len(t.encode()) <= MOST_ADDRESS and (POSTAL_CODE.search(t) or STREET.match(t)):
         return Spec("redact", as_string=True)
     before, mark, after = t.partition("@")
-    if mark and len(t.encode()) <= 320 and "." in after and before.strip():
+    if mark and len(t.encode()) <= MOST_EMAIL and "." in after and before.strip():
         return Spec("email", as_string=True)
     return None
 
 
+def suggested(text: Column) -> Column:
+    """The strategy that a value itself suggests, as a column."""
+
+    @F.pandas_udf("string")
+    def strategies(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None or (found := from_text(t)) is None else found.strategy)
+
+    return strategies(text)
+
+
 def by_names(tables: Mapping[str, list[str]]) -> Rules:
     """Rules by table for columns whose names tell."""
     out = {t.lower(): {c.lower(): s for c in columns if (s := likely_spec(c))} for t, columns in tables.items()}

@@ -238,18 +238,6 @@ def _random_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("random_shapes", _random_shapes, "SELECT " + ", ".join(f"count(*) AS v{i}" for i in range(10)) + ", count(*) AS luhn, true AS uuids_differ FROM orders")
 
 
-def _fakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A value of every generator for each nation."""
-    names = sorted(fakes.GENERATORS)
-    rules = "\n".join(f'v{i} = {{ strategy = "faker", faker = "{n}", domain = "d"{", format = \'##-^^\'" if "format" in n else ""} }}' for i, n in enumerate(names))
-    df = table(spark, sf_dir, "nation").select("n_nationkey", *(F.col("n_name").alias(f"v{i}") for i in range(len(names))))
-    done = masking(f"[rules.nation]\n{rules}").apply(df, "nation")
-    listed = F.array(*(F.struct(F.lit(n).alias("generator"), F.col(f"v{i}").alias("value")) for i, n in enumerate(names)))
-    return done.select("n_nationkey", F.explode(listed).alias("x")).select("n_nationkey", "x.*")
-
-
-register("faker_generators", _fakers, None)
-
 # -- JSON -----------------------------------------------------------------------------------------------------------------
 
 masked(
