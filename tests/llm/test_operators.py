@@ -394,6 +394,39 @@ def test_cutoffs_limit_false_rejections(spark):
     assert sum(not got[i].kept for i in range(6000)) <= 0.02 * 6000
 
 
+def test_certified_points_equal_a_plain_search(spark):
+    """Three strata, one of them too small, null for a name, and labels of several kinds; points found by plain counting."""
+    r, docs = random.Random(12), []
+    for i in range(900):
+        lang = ("aa", None, "bb")[0 if i < 500 else 1 if i < 800 else 2]
+        text = prose(i, 25) + " ###" * r.choice([0, 0, 0, 0, 2, 4, 9, 30]) * (i % 7 == 0) + "\nsame line" * (r.choice([0, 0, 0, 5]) if i % 5 == 0 else 0)
+        docs.append((i, text, lang, 0 if "###" * 1 in text and r.random() < 0.99 else r.choice([1, 1, 1, None])))
+    df = spark.createDataFrame([d[:3] for d in docs], "doc_id bigint, text string, lang string")
+    good = spark.createDataFrame([(d[0], d[3]) for d in docs], "doc_id bigint, quality int")
+    points = quality.path()
+
+    def ratios(text):
+        words, chars, symbols, dup, rep = brute_measures(text)
+        lines = [x for x in text.split("\n") if re.sub(SPACE, "", x)]
+        return {"symbols": symbols / max(chars, 1), "word_length": chars / max(words, 1), "shouting": sum("A" <= c <= "Z" for c in text) / max(chars, 1), "lines": dup / max(len(lines), 1), "repeats": rep / max(words, 1)}
+
+    first = {i: next((n for n, (rule, c) in enumerate(points, 1) if ratios(t)[rule] > c), 99) for i, t, *_ in docs}
+    fails = {i: (m := brute_measures(t))[0] < 20 or 100 * m[4] > 30 * m[0] for i, t, *_ in docs}
+    held = defaultdict(list)
+    for i, _, lang, label in docs:
+        if label == 1 and not fails[i]:
+            held[lang].append(first[i])
+    held = {k: v for k, v in held.items() if 0.98 ** len(v) <= 0.05}
+    certified = {}
+    for lang, firsts in held.items():
+        tail = lambda k, n: sum(math.comb(n, x) * 0.02**x * 0.98 ** (n - x) for x in range(k + 1))
+        passed = [tail(sum(f <= j for f in firsts), len(firsts)) <= 0.05 / len(held) for j in range(1, len(points) + 1)]
+        certified[lang] = passed.index(False) if False in passed else len(points)
+    want = {i: not fails[i] and not first[i] <= certified.get(lang, 0) for i, _, lang, _ in docs}
+    got = {x.doc_id: x.kept for x in quality.quality(df, good).collect()}
+    assert got == want and len(held) == 2 and any(not fails[i] and not k for i, k in want.items())
+
+
 # -- 2, 6, 7: models --------------------------------------------------------------------------------------------------------
 
 

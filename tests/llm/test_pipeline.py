@@ -5,21 +5,26 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pytest
+from helpers import prose
 from test_operators import brute_base, brute_measures, brute_near
 
 from veilwork.llm import secrets, token_counts, wordbpe
 
 SPACE = r"[\x20\x09-\x0D]"
 SECRET = " token = 'abcdef0123456789abcdef0123' end"
+#: Weak parts that complement each other.
+LINKED = " user: alice pwd = hunter2x end"
 
 
 @pytest.fixture(scope="module")
 def folder(spark, rows, tmp_path_factory):
     place = tmp_path_factory.mktemp("tables")
     more = [(500, dict(rows)[303] + SECRET), (500, dict(rows)[303] + SECRET), (None, " ".join(f"w{i}" for i in range(40)) + SECRET)]
+    more += [(501, " ".join(f"v{i}" for i in range(40)) + LINKED)]
     docs = [(i, t, None if n % 4 == 0 else "en", "s", 0, "extra") for n, (i, t) in enumerate(rows + more)]
+    docs += [(2000 + i, prose(2000 + i, 25), "zz", "s", 0, "extra") for i in range(170)] + [(3000 + i, prose(3000 + i, 25) + " ###" * 9, lang, "s", 0, "extra") for i, lang in enumerate(["zz", "zz", "en", None])]
     spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint, words string").repartition(3).write.parquet(f"{place}/documents.parquet")
-    spark.createDataFrame([(i, n % 2, 0) for n, (i, *_) in enumerate(docs)], "doc_id bigint, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
+    spark.createDataFrame([(i, 1 if lang == "zz" else n % 2, 0) for n, (i, _, lang, *_) in enumerate(docs) if (i or 0) < 3000], "doc_id bigint, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
     return str(place), [(d[0], d[1]) for d in docs]
 
 
@@ -33,7 +38,8 @@ def test_stages_equal_a_plain_version(spark, folder, tmp_path):
     now = []
     for i, t in docs:
         m = brute_measures(t)
-        if m[0] >= 20 and 100 * m[4] <= 30 * m[0]:
+        junk = i in (3000, 3001)  # over a cutoff that enough good documents of their language certify
+        if m[0] >= 20 and 100 * m[4] <= 30 * m[0] and not junk:
             now.append((i, t))
     kept.append(now)
     groups = defaultdict(list)
@@ -94,7 +100,9 @@ def test_rows_keep_their_numbers_when_cores_change(spark, folder, monkeypatch):
 
 
 def redacted(text):
-    """Base spans only, with overlapping ones as one; these texts have no weak parts that complement each other."""
+    """Base spans, with overlapping ones as one; but for LINKED these texts have no weak parts that complement each other."""
+    if text.endswith(LINKED):
+        return text.replace("user: alice pwd = hunter2x", "[REDACTED] [REDACTED]")
     spans = [(s, e) for s, _, e in brute_base(text)]
     assert not any(re.search(p, text) for p, _, _ in secrets.WEAK.values()) or "token" in text
     out, at = [], 0

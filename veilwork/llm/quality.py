@@ -1,12 +1,16 @@
 """Quality rules (operator 8): measures of a text, and cutoffs whose false rejections are bounded on labelled holdouts.
 
-A rule rejects a document if a ratio of its measures is over a cutoff. Cutoffs are chosen per stratum (by default the
-language) on labelled documents, none of which any measure was fitted to. Of the good ones in a stratum, ``n`` in number,
-``k`` are over a cutoff. The cutoff is certified if ``k`` or fewer of ``n`` would have a probability of at most
-``alpha / tests`` were the true rate of false rejection as high as the rule's share of ``limit``: an exact binomial tail.
-``tests`` is the number of strata times rules (Bonferroni). Within a rule cutoffs are tested from the loosest on and
-testing ends at the first that fails, so they need no further correction. With the given confidence, no stratum loses
-more than ``limit`` of its good documents to all rules together. Where no cutoff is certified a rule rejects nothing.
+A rule rejects a document if a ratio of its measures is over a cutoff. The rules' cutoffs form one path, fixed beforehand:
+those of the first rule, the loosest first, then those of the second, and so on. At a point of the path all cutoffs up to there
+hold together, so a document is rejected there if the first cutoff on the path that it is over comes no later. Points are
+chosen per stratum (by default the language) on labelled documents, none of which any measure was fitted to. Of the good
+ones in a stratum that the base rules pass, ``n`` in number, ``k`` are rejected at a point. The point is certified if ``k``
+or fewer of ``n`` would have a probability of at most ``alpha / strata`` were the true rate of false rejection, by all
+rules together, as high as ``limit``: an exact binomial tail. ``strata`` is the number of strata that have enough good
+documents for any point to be certified (Bonferroni; it depends on nothing but their numbers). Within a stratum points are
+tested from the start of the path on and testing ends at the first that fails, so they need no further correction. With
+the given confidence no stratum loses more than ``limit`` of its good documents to the cutoffs; what the base rules
+reject, which are fixed, comes on top. Where no point is certified the cutoffs reject nothing.
 
 Built-in functions only. The measures take one pass without a shuffle; what is joined and grouped afterwards is narrow.
 
@@ -28,13 +32,14 @@ WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
 ALPHA, LIMIT = 0.05, 0.02
 
-#: Rule: its ratio as SQL, and its cutoffs, the loosest first.
+#: Rule: its ratio as SQL, and its cutoffs, the loosest first. Rules stand in the order in which they come to hold: junk
+#: signs and glued words before capitals, and what good lists and verses have too, repeated lines and words, last.
 RULES = {
     "symbols": ("n_symbols / greatest(word_chars, 1)", (0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08)),
+    "word_length": ("word_chars / greatest(n_words, 1)", (40.0, 30.0, 25.0, 20.0, 17.0, 15.0, 13.0)),
+    "shouting": ("n_upper / greatest(word_chars, 1)", (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3)),
     "lines": ("n_dup_lines / greatest(n_lines, 1)", (0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2)),
     "repeats": ("n_repeat_words / greatest(n_words, 1)", (0.29, 0.27, 0.25, 0.2, 0.15, 0.1)),
-    "shouting": ("n_upper / greatest(word_chars, 1)", (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3)),
-    "word_length": ("word_chars / greatest(n_words, 1)", (40.0, 30.0, 25.0, 20.0, 17.0, 15.0, 13.0)),
 }
 
 
@@ -75,21 +80,25 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k > n * p, 1.0).when(k == 0, F.exp(first)).otherwise(total)
 
 
-def cutoffs(measured: DataFrame, good: DataFrame, *, id_col: str, stratum: str, rules=RULES, alpha: float = ALPHA, limit: float = LIMIT) -> DataFrame:
-    """(stratum, one column a rule): the strictest certified cutoff of each rule, null where there is none.
+def path(rules=RULES) -> list[tuple[str, float]]:
+    """(rule, cutoff) in the order in which they come to hold."""
+    return [(r, c) for r, (_, cs) in rules.items() for c in cs]
+
+
+def cutoffs(rated: DataFrame, good: DataFrame, *, id_col: str, points: int, alpha: float = ALPHA, limit: float = LIMIT) -> DataFrame:
+    """(own, certified): the last certified point of each stratum that has one.
 
-    ``measured`` has ``id_col``, ``stratum``, ``base_failed`` and the rules' ratios by name; ``good``: ids of documents labelled good.
+    ``rated`` has ``id_col``, ``stratum``, ``base_failed`` and ``first``, the place on the path of the first cutoff that a
+    document is over, from 1, or null; ``good``: ids of documents labelled good.
     """
-    held = measured.where(~F.col("base_failed")).join(good, id_col, "left_semi")
-    over = [F.sum(F.when(F.col(r) > c, 1).otherwise(0)).alias(f"{r}_{i}") for r, (_, cs) in rules.items() for i, c in enumerate(cs)]
-    counts = common.cut(held.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *over))
-    tests = max(1, counts.count() * len(rules))
-    rows = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r, (_, cs) in rules.items() for i, c in enumerate(cs)))
-    tried = counts.select(stratum, "n", F.explode(rows).alias("x")).select(stratum, "n", "x.*")
-    tried = tried.withColumn("passed", binomial_tail(F.col("k"), F.col("n"), limit / len(rules)) <= F.lit(alpha / tests))
-    steps = tried.groupBy(stratum, "rule").agg(F.min(F.when(~F.col("passed"), F.col("step"))).alias("failed_at"), F.collect_list(F.struct("step", "cutoff")).alias("all"))
-    best = F.array_min(F.transform(F.filter("all", lambda x: x["step"] < F.coalesce("failed_at", F.lit(1 << 30))), lambda x: x["cutoff"]))
-    return steps.select(stratum, "rule", best.alias("cutoff")).groupBy(stratum).agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"most_{r}") for r in rules))
+    held = rated.where(~F.col("base_failed")).join(good, id_col, "left_semi")
+    over = [F.count_if(F.col("first") <= i).alias(f"k{i}") for i in range(1, points + 1)]
+    counts = common.cut(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *over).where(F.exp(F.col("n") * F.log1p(F.lit(-limit))) <= alpha))
+    strata = max(1, counts.count())
+    tried = counts.select("stratum", "n", F.posexplode(F.array(*(F.col(f"k{i}") for i in range(1, points + 1)))).alias("before", "k"))
+    passed = binomial_tail(F.col("k"), F.col("n"), limit) <= F.lit(alpha / strata)
+    best = tried.groupBy("stratum").agg(F.coalesce(F.min(F.when(~passed, F.col("before"))), F.lit(points)).alias("certified"))
+    return best.where("certified > 0").withColumnRenamed("stratum", "own")
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", row_col: str | None = None, rules=RULES, alpha: float = ALPHA, limit: float = LIMIT) -> DataFrame:
@@ -98,26 +107,31 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     measured = measures(docs, *keep, text_col=text_col).withColumn("base_failed", base).withColumnRenamed(stratum_col, "stratum")
     measured = common.cut(measured)
-    rated = measured.withColumns({r: F.expr(sql) for r, (sql, _) in rules.items()})
+    points = path(rules)
+    over = [F.expr(rules[r][0]) > c for r, c in points]
+    first = F.array_min(F.array(*(F.when(x, F.lit(i)) for i, x in enumerate(over, 1))))
+    rated = measured.withColumn("first", first)
     good = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("least")).where("least = 1").select(id_col)
-    limits = common.cut(cutoffs(rated, good, id_col=id_col, stratum="stratum", rules=rules, alpha=alpha, limit=limit).withColumnRenamed("stratum", "own"))
+    limits = common.cut(cutoffs(rated, good, id_col=id_col, points=len(points), alpha=alpha, limit=limit))
     judged = rated.join(limits, F.col("stratum").eqNullSafe(F.col("own")), "left")
-    failed = F.filter(F.array(*(F.when(F.col(r) > F.col(f"most_{r}"), F.lit(r)) for r in rules)), lambda x: x.isNotNull())
+    failed = F.array_distinct(F.filter(F.array(*(F.when(x & (F.col("certified") >= i), F.lit(r)) for i, ((r, _), x) in enumerate(zip(points, over, strict=True), 1))), lambda x: x.isNotNull()))
     measured_names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    out = judged.withColumn("failed_rules", failed)
-    return out.select(id_col, *([row_col] if row_col else []), *measured_names, "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules")
+    kept = ~F.col("base_failed") & ~F.coalesce(F.col("first") <= F.col("certified"), F.lit(False))
+    return judged.select(id_col, *([row_col] if row_col else []), *measured_names, "base_failed", kept.alias("kept"), failed.alias("failed_rules"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(common.documents(spark, sf_dir), common.labels(spark, sf_dir)).drop("failed_rules")
 
 
-def _oracle() -> str:
-    steps = ", ".join(f"('{r}', {i}, {c}::DOUBLE)" for r, (_, cs) in RULES.items() for i, c in enumerate(cs))
-    ratios = ", ".join(f"({sql})::DOUBLE AS {r}" for r, (sql, _) in RULES.items())
-    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {r}" for r in RULES) + " END"
-    p = LIMIT / len(RULES)
-    return rf"""
+#: The path again as SQL, written out: place, what is compared, cutoff.
+_SQL_PATH = """
+(1, 'symbols', 0.6), (2, 'symbols', 0.5), (3, 'symbols', 0.4), (4, 'symbols', 0.35), (5, 'symbols', 0.3), (6, 'symbols', 0.25), (7, 'symbols', 0.2), (8, 'symbols', 0.15), (9, 'symbols', 0.1), (10, 'symbols', 0.08),
+(11, 'word_length', 40), (12, 'word_length', 30), (13, 'word_length', 25), (14, 'word_length', 20), (15, 'word_length', 17), (16, 'word_length', 15), (17, 'word_length', 13),
+(18, 'shouting', 0.95), (19, 'shouting', 0.9), (20, 'shouting', 0.8), (21, 'shouting', 0.7), (22, 'shouting', 0.6), (23, 'shouting', 0.5), (24, 'shouting', 0.4), (25, 'shouting', 0.3),
+(26, 'lines', 0.8), (27, 'lines', 0.7), (28, 'lines', 0.6), (29, 'lines', 0.5), (30, 'lines', 0.4), (31, 'lines', 0.3), (32, 'lines', 0.25), (33, 'lines', 0.2),
+(34, 'repeats', 0.29), (35, 'repeats', 0.27), (36, 'repeats', 0.25), (37, 'repeats', 0.2), (38, 'repeats', 0.15), (39, 'repeats', 0.1)"""
+ORACLE = rf"""
 WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
 win AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
@@ -126,18 +140,20 @@ rep AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM dup, (SELECT
 m AS (SELECT w.doc_id, lang, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM w JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
-r AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, {ratios} FROM m),
-steps(rule, step, cutoff) AS (VALUES {steps}),
+path(place, rule, cutoff) AS (VALUES {_SQL_PATH}),
+r AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+ratios AS (UNPIVOT (SELECT doc_id, n_symbols / greatest(word_chars, 1) AS symbols, n_dup_lines / greatest(n_lines, 1) AS lines, n_repeat_words / greatest(n_words, 1) AS repeats, n_upper / greatest(word_chars, 1) AS shouting, word_chars / greatest(n_words, 1) AS word_length FROM r) ON symbols, lines, repeats, shouting, word_length INTO NAME rule VALUE ratio),
+f AS (SELECT doc_id, min(place) AS first FROM ratios JOIN path USING (rule) WHERE ratio > CAST(cutoff AS DOUBLE) GROUP BY doc_id),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-tried AS (SELECT lang, rule, step, cutoff, count(*) AS n, count(*) FILTER (WHERE {value} > cutoff) AS k FROM r SEMI JOIN good USING (doc_id) CROSS JOIN steps WHERE NOT base_failed GROUP BY ALL),
-tested AS (SELECT *, CASE WHEN k > n * {p} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) END
-  <= {ALPHA} / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM tried)) * {len(RULES)}) AS passed FROM tried),
-failed AS (SELECT lang, rule, min(step) FILTER (WHERE NOT passed) AS failed_at FROM tested GROUP BY ALL),
-best AS (SELECT t.lang, t.rule, min(t.cutoff) AS cutoff FROM tested t JOIN failed f ON t.rule = f.rule AND t.lang IS NOT DISTINCT FROM f.lang WHERE t.step < coalesce(failed_at, 1000) GROUP BY ALL),
-bad AS (SELECT DISTINCT doc_id FROM r JOIN best b ON r.lang IS NOT DISTINCT FROM b.lang WHERE {value} > cutoff)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept FROM r LEFT JOIN bad USING (doc_id)
+held AS (SELECT r.doc_id, lang, first FROM r SEMI JOIN good USING (doc_id) LEFT JOIN f USING (doc_id) WHERE NOT base_failed),
+sizes AS (SELECT lang, count(*) AS n FROM held GROUP BY lang HAVING 0.98 ** count(*) <= 0.05),
+tried AS (SELECT s.lang, n, place, (SELECT count(*) FROM held h WHERE h.lang IS NOT DISTINCT FROM s.lang AND first <= place) AS k FROM sizes s CROSS JOIN path),
+tested AS (SELECT *, k <= n * 0.02 AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02) + (n - i) * ln(0.98)))) <= 0.05 / (SELECT count(*) FROM sizes) AS passed FROM tried),
+best AS (SELECT lang, coalesce(min(place) FILTER (WHERE NOT passed) - 1, 39) AS certified FROM tested GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(first <= certified, false) AS kept
+FROM r LEFT JOIN f USING (doc_id) LEFT JOIN best ON r.lang IS NOT DISTINCT FROM best.lang
 """
 
 
 QUERIES = {"op8_quality_rules": op8_quality_rules}
-ORACLE_SQL = {"op8_quality_rules": _oracle()}
+ORACLE_SQL = {"op8_quality_rules": ORACLE}
