@@ -196,6 +196,37 @@ def test_chains_and_crowds_lose_no_link(spark):
     assert sorted(map(tuple, got), key=key) == want and len({x[2] for x in want if x[0] < 30}) == 1
 
 
+@pytest.mark.parametrize("more", [{"least": 2, "share": 0.0}, {"least": 3, "share": 0.0, "sample": 2000}, {"least": 2, "share": 0.0, "most": 50}, {"class_bits": 3}, {"least": 2, "share": 0.05, "class_bits": 5}])
+def test_frequent_keys_and_clashing_numbers_change_nothing(odd, rows, more):
+    got = ngram_join.ngram_join(odd, **more).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=key) == brute_near(rows, 5, 80)
+
+
+def test_frequent_keys_are_those_of_many_texts(spark):
+    texts = [f"a{i} b{i} all these words stand everywhere c{i} d{i}" for i in range(300)] + ["copied words are one text only"] * 400
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    of = lambda t: sharedkeys.key_of(ngram_join.shingles(t, 3))
+    keys, times = sharedkeys.frequent(df, of, 3000, share=0.5)
+    assert sorted(keys.tolist()) == keys.tolist() == sorted(of("all these words stand everywhere").tolist()) and set(times) == {300}
+    few, _ = sharedkeys.frequent(df, of, 3000, least=1, share=0.0, most=7)
+    assert len(few) == 7 and set(keys.tolist()) <= set(few.tolist())
+    assert len(sharedkeys.frequent(df.limit(0), of, 0)[0]) == 0
+    # a key in every class: its bucket's task sees none of it
+    table = sharedkeys.Frequent(keys, np.log2(times).astype(np.uint8))
+    name = lambda t: (ngram_join.class_of(ngram_join.shingles(t, 3)), 0, of(t))
+    sent = sharedkeys.deal(df, name, 64, table, 3).collect()
+    straight = [r for r in sent if r["bucket"] < 0]
+    assert sum(len(r["keys"]) // 6 for r in straight) >= 900 and {(-1 - r["bucket"]) // 64 for r in straight} <= {0, 1, 2}
+    assert not any(np.isin(sharedkeys.unplanes(r["keys"]), keys).any() for r in sent if r["bucket"] >= 0)
+
+
+def test_buckets_are_ranges_whatever_their_number():
+    k = np.sort(np.random.default_rng(3).integers(0, 1 << 48, 10_000).astype(np.uint64))
+    for n in (1, 64, 1 << 15, 1 << 20, 1 << 30):
+        b = sharedkeys.bucket_of(k, n)
+        assert (np.diff(b) >= 0).all() and b.min() >= 0 and b.max() < n
+
+
 def test_shared_keys_round_trip():
     k = np.sort(np.random.default_rng(2).integers(0, 1 << 48, 1000).astype(np.uint64))
     assert (sharedkeys.unplanes(sharedkeys.planes(k)) == k).all()
@@ -221,12 +252,24 @@ def brute_substrings(rows):
     return sorted(out, key=key)
 
 
-def test_suffix_dedup(odd, none, rows, monkeypatch):
-    for part in (4 << 20, 3000):
-        monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", part)
-        got = suffix_dedup.suffix_dedup(odd).collect()
-        shown = [(r.doc_id, r.n_bytes, sum(x.end - x.start for x in r.removed), len(r.removed), r.sha256 if r.kept_bytes is None else hashlib.sha256(r.kept_bytes).hexdigest()) for r in got]
-        assert sorted(shown, key=key) == brute_substrings(rows)
+@pytest.mark.parametrize("more", [{}, {"shard_bytes": 3000}, {"least": 2, "share": 0.0}, {"least": 2, "share": 0.0, "shard_bytes": 3000, "salts": 7}, {"least": 3, "share": 0.0, "sample": 9000, "class_bits": 3}, {"class_bits": 2}])
+def test_suffix_dedup(odd, rows, more):
+    got = suffix_dedup.suffix_dedup(odd, **more).collect()
+    shown = [(r.doc_id, r.n_bytes, sum(x.end - x.start for x in r.removed), len(r.removed), r.sha256 if r.kept_bytes is None else hashlib.sha256(r.kept_bytes).hexdigest()) for r in got]
+    assert sorted(shown, key=key) == brute_substrings(rows) and all(r.kept_sha256 == x[-1] for r, x in zip(got, shown, strict=True))
+
+
+def test_a_passage_of_most_documents(spark, none):
+    """One passage in nine of ten documents, the same text before it in some; pieces of it are frequent, their windows merged."""
+    passage = prose(21, 60)
+    rows = [(i * 7 % 200, prose(700 + i, 15) + (f" note {i % 3}: {passage} " if i % 10 else " ") + prose(900 + i, 15)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = suffix_dedup.suffix_dedup(df, with_text=False).collect()
+    assert sorted(((r.doc_id, r.n_bytes, sum(x.end - x.start for x in r.removed), len(r.removed), r.kept_sha256) for r in got), key=key) == brute_substrings(rows)
+    hashes, _ = sharedkeys.frequent(df, lambda t: np.unique(suffix_dedup.pieces(np.frombuffer(t.encode(), np.uint8))), 100_000)
+    often = suffix_dedup.Often(hashes)
+    place, h, last = suffix_dedup.anchors(np.frombuffer(rows[1][1].encode(), np.uint8), often=often)
+    assert np.isin(h[last], hashes).all() and 300 < last[place].sum() < len(place)
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 

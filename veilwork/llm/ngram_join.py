@@ -13,15 +13,15 @@ similar by their sizes, by the tokens that are theirs alone and by how much of e
 not known to be connected are compared, all of them, so no link between different components is lost. A comparison first intersects the prefixes under the other orders and verifies on the whole sets only what passes all.
 Components are then found by passing on the least number along links until nothing changes.
 
-Tokens are 64-bit hashes of word sequences, 48 bits of which are compared; classes are 64-bit hashes of sets. Text null,
-empty or without words has no shingles and its own component. Fewer words than a shingle count as one shingle. Null ids
+Tokens are 64-bit hashes of word sequences, 48 bits of which are compared; classes are 64-bit hashes of sets, with a
+second hash where two sets have the same. Text null, empty or without words has no shingles and its own component. Fewer words than a shingle count as one shingle. Null ids
 take part; a component's number is its least id that is not null. Repeated rows are in one class. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -59,8 +59,8 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def class_of(tokens: np.ndarray) -> int:
-    return int(np.array([xxhash.xxh3_64_intdigest(tokens.tobytes())], np.uint64).view(np.int64)[0])
+def class_of(tokens: np.ndarray, seed: int = 0, bits: int = 64) -> int:
+    return int(np.array([xxhash.xxh3_64_intdigest(tokens.tobytes(), seed) >> 64 - bits], np.uint64).view(np.int64)[0])
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -75,12 +75,15 @@ def prefixes(n: int, keys: np.ndarray, level: np.ndarray, percent: int) -> list[
     return [keys[np.lexsort((scramble(keys ^ np.uint64(salt)), level))[:need]] for salt in SALTS[:ORDERS]]
 
 
-def _active(docs: DataFrame, buckets: int, words: int, percent: int, text_col: str) -> DataFrame:
+def _active(docs: DataFrame, total: int, words: int, percent: int, text_col: str, name: Callable[[np.ndarray], int], **sample) -> DataFrame:
     """Classes that may be linked: number, size, how many tokens are theirs alone, shared tokens and prefixes."""
 
     def keys_of(text: str):
         tokens = shingles(text, words)
-        return (class_of(tokens), len(tokens), sharedkeys.key_of(tokens)) if len(tokens) else None
+        return (name(tokens), len(tokens), sharedkeys.key_of(tokens)) if len(tokens) else None
+
+    often, times = sharedkeys.frequent(docs, lambda text: sharedkeys.key_of(shingles(text, words)), total, text_col=text_col, **sample)
+    table = sharedkeys.Frequent(often, np.log2(np.maximum(times, 1)).astype(np.uint8))
 
     def each(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -91,29 +94,40 @@ def _active(docs: DataFrame, buckets: int, words: int, percent: int, text_col: s
         return pd.DataFrame(out, columns=["c", "n", "own", "tokens", "first", *(f"order{i}" for i in range(2, ORDERS + 1))])
 
     schema = "c long, n int, own int, tokens binary, first array<bigint>" + "".join(f", order{i} binary" for i in range(2, ORDERS + 1))
-    return sharedkeys.shared(docs, keys_of, buckets, each, schema, text_col=text_col)
+    return sharedkeys.shared(docs, keys_of, total, each, schema, text_col=text_col, table=table)
 
 
 def verify(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
-    """Of pairs of classes (a, b) those whose sets are similar enough."""
-    whole = active.select("c", "n", "tokens", *(f"order{i}" for i in range(2, ORDERS + 1)))
-    side = lambda x: whole.select(*(F.col(c).alias(x if c == "c" else f"{x}_{c}") for c in whole.columns))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    """Of pairs of classes (a, b) those whose sets are similar enough. Sizes and the prefixes under the other orders are
+    looked at first; whole sets travel only to pairs that share a token in each."""
+    orders = [f"order{i}" for i in range(2, ORDERS + 1)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def beside(few: DataFrame, columns: list[str]) -> DataFrame:
+        side = lambda x: active.select(F.col("c").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in columns))
+        return few.join(side("a"), "a").join(side("b"), "b")
+
+    def shared(batch: pa.RecordBatch, name: str, i: int) -> int:
+        return len(np.intersect1d(*(np.frombuffer(batch.column(f"{x}_{name}")[i].as_buffer(), "<u8") for x in "ab"), assume_unique=True))
+
+    def keeping(batch: pa.RecordBatch, kept: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(x).take(pa.array(kept, pa.int64())) for x in "ab"], ["a", "b"])
+
+    def meets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield keeping(batch, [i for i in range(batch.num_rows) if all(shared(batch, k, i) for k in orders)])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared = lambda name, i: len(np.intersect1d(*(np.frombuffer(batch.column(f"{x}_{name}")[i].as_buffer(), "<u8") for x in "ab"), assume_unique=True))  # noqa: B023, E731
-            sizes = list(zip(batch.column("a_n").to_pylist(), batch.column("b_n").to_pylist(), strict=True))
             kept = []
-            for i, (m, n) in enumerate(sizes):
-                if 100 * min(m, n) < percent * max(m, n) or not all(shared(f"order{k}", i) for k in range(2, ORDERS + 1)):
-                    continue
-                both = shared("tokens", i)
+            for i, (m, n) in enumerate(zip(batch.column("a_n").to_pylist(), batch.column("b_n").to_pylist(), strict=True)):
+                both = shared(batch, "tokens", i)
                 if 100 * both >= percent * (m + n - both):
                     kept.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(x).take(pa.array(kept, pa.int64())) for x in "ab"], ["a", "b"])
+            yield keeping(batch, kept)
 
-    return joined.mapInArrow(run, "a long, b long")
+    sized = beside(pairs, ["n", *orders]).where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+    survivors = sized.select("a", "b", *(f"{x}_{k}" for k in orders for x in "ab")).mapInArrow(meets, "a long, b long")
+    return beside(survivors, ["n", "tokens"]).mapInArrow(similar, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -197,26 +211,42 @@ def _apart(pairs: DataFrame, label: DataFrame, x: str, y: str) -> DataFrame:
     return known.where(F.coalesce(f"label_{x}", x) != F.coalesce(f"label_{y}", y)).select(x, y)
 
 
-def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, words: int = 5, percent: int = 80) -> DataFrame:
+def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, words: int = 5, percent: int = 80, class_bits: int = 64, **sample) -> DataFrame:
     """One row per row of ``docs``: id, ``row_col`` if given, ``n_shingles``, ``class`` and ``component``
     (numbers of its set of shingles and of the sets connected with it, null without shingles) and ``component_id``, the
-    least id of all documents reachable by links of ``percent`` % similarity or more."""
+    least id of all documents reachable by links of ``percent`` % similarity or more.
+
+    ``class_bits``: bits of the first hash by which sets are told apart; sets that share one are told apart by a second hash
+    of 64 bits. Among n sets some n * n / 2 ** 65 share one, and their numbers are given to the tasks. ``sample``: see
+    ``sharedkeys.frequent``. An id column named like another column of the result is an error."""
+    if taken := {id_col, row_col} & {"n_shingles", "class", "check", "component", "component_id"}:
+        raise ValueError(f"{min(taken)} is a column of the result")
     kept = [id_col] + ([row_col] if row_col else [])
     source = docs.select(*kept, text_col)
-    schema = T.StructType([*(source.schema[c] for c in kept), T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType())])
+    schema = T.StructType([*(source.schema[c] for c in kept), T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType()), T.StructField("check", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in common.text_batches(batches, text_col):
             sets = [shingles(t, words) for t in texts]
-            found = [pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())]
+            found = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([class_of(s, *how) if len(s) else None for s in sets], pa.int64()) for how in ((0, class_bits), (1,)))]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *found], schema.names)
 
     narrow = common.cut(source.mapInArrow(run, schema))
-    tokens = narrow.agg(F.sum("n_shingles")).first()[0] or 0
-    active = common.cut(_active(source, sharedkeys.buckets_for(tokens), words, percent, text_col))
+    total = narrow.agg(F.sum("n_shingles")).first()[0] or 0
+    of = lambda rows: rows.where(F.col("class").isNotNull()).groupBy("class")
+    classes = common.cut(of(narrow).agg(F.min(id_col).alias("least"), F.min("check").alias("low"), F.max("check").alias("high")))
+    clashing = frozenset(r[0] for r in classes.where("low <> high").select("class").collect())
+    if clashing:  # different sets of one number take their second hash
+        narrow = narrow.withColumn("class", F.when(F.col("class").isin(*clashing), F.col("check")).otherwise(F.col("class")))
+        classes = common.cut(of(narrow).agg(F.min(id_col).alias("least")))
+
+    def name(tokens: np.ndarray) -> int:
+        number = class_of(tokens, 0, class_bits)
+        return class_of(tokens, 1) if number in clashing else number
+
+    active = common.cut(_active(source, total, words, percent, text_col, name, **sample))
     component = components(link(active, percent))
-    classes = narrow.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(id_col).alias("least"))
-    joined = classes.join(component.withColumnRenamed("c", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    joined = classes.select("class", "least").join(component.withColumnRenamed("c", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     joined = common.cut(joined)
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = joined.join(least, "component").select("class", "component", "component_id")

@@ -9,12 +9,21 @@ windows, which follow one another, go to the anchor's shard as one stretch of by
 A shard sorts the suffixes of its stretches by Larsson-Sadakane refinement (ranks by the first 8 bytes, then twice as many
 in each round, sorting only groups that are not settled) and takes common prefixes by Kasai's rule, along all stretches at
 once. Windows between which the common prefix is 50 or more are equal; each learns the least id of its kind. Shards are cut
-at ``SHARD_BYTES`` into parts with suffix arrays of their own, merged by binary search of each part's sorted windows.
+at ``shard_bytes`` into parts with suffix arrays of their own, merged by binary search of each part's sorted windows.
+
+A passage that many documents have would make its anchors' shards grow with the corpus. Frequent pieces are found
+beforehand in a sample of bounded size (``sharedkeys.frequent``; results don't depend on it) and are anchors only of
+windows in which all pieces are frequent. Such windows are dealt by anchor and by document to sub-shards, each with a
+suffix array of its own. A sub-shard sends every distinct window once, with its least id there; the sub-shards' sorted
+windows are merged by binary search, in ranges of a hash, and each sub-shard learns where another knows a lesser id.
 
 Texts that are equal as a whole go on as one, the one with the least id; later copies of 50 bytes or more go entirely.
+Texts are told apart by a 64-bit hash, and by a second one where two texts share the first.
 
-Null text counts as empty: nothing to remove. Null ids count as larger than all others. Rows with the same id don't make
-each other's bytes go. Empty tables give no rows. Matches never cross documents.
+Null text counts as empty: nothing to remove. Ids are cast to long; null ids count as larger than all others. Rows with the
+same id don't make each other's bytes go. Empty tables give no rows. Other columns are not looked at, whatever their names;
+an id column named like a column of the result is an error. Matches never cross documents. A text of any length is one
+row; beside it a task holds some ten numbers for each of its bytes.
 """
 
 from __future__ import annotations
@@ -36,15 +45,43 @@ LENGTH = 50
 PIECE = 20
 SHARD_BYTES = 4 << 20
 EMPTY = hashlib.sha256(b"").hexdigest()
+#: A sample of so many bytes, and how many of its texts make a piece frequent (see ``sharedkeys.frequent``).
+SAMPLE_BYTES, SHARE = 8_000_000, 0.005
+#: Documents of one sub-shard about, and sub-shards of an anchor at least.
+SUB_CLASSES, LEAST_SALTS = 1_000_000, 4
+LAST = np.uint64(1 << 63)
+
+
+class Often:
+    """Hashes of frequent pieces, ascending."""
+
+    def __init__(self, hashes: np.ndarray | None = None):
+        self.hashes = np.zeros(0, np.uint64) if hashes is None else hashes
+        self.marks: np.ndarray | None = None
+
+    def order(self, h: np.ndarray) -> np.ndarray:
+        """Numbers that order pieces as their hashes do, but frequent ones after all others."""
+        out = h >> np.uint64(1)
+        if len(self.hashes):
+            if self.marks is None:  # a first look that few others pass
+                self.marks = np.zeros(1 << 20, bool)
+                self.marks[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+            maybe = np.flatnonzero(self.marks[(h >> np.uint64(44)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
+            out[maybe[self.hashes[at] == h[maybe]]] |= LAST
+        return out
+
+
+NONE = Often()
 
 
 # -- anchors ----------------------------------------------------------------------------------------------------------
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of a text its anchor's place, ascending; and the hash of the piece at each place."""
-    if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def pieces(data: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """The hash of the piece at each place of a text."""
+    if len(data) < piece:
+        return np.zeros(0, np.uint64)
     base, size, done, left = 0x9E3779B97F4A7C15 | 1, 1, None, piece
     power, h, shift = base, data.astype(np.uint64) + np.uint64(1), 0
     with np.errstate(over="ignore"):
@@ -63,24 +100,32 @@ def anchors(data: np.ndarray, length: int = LENGTH, piece: int = PIECE) -> tuple
             h = h[:n] * np.uint64(power) + h[size:]
             power = power * power & (1 << 64) - 1
             size *= 2
-    h = scramble(done)
+    return scramble(done)
+
+
+def anchors(data: np.ndarray, length: int = LENGTH, piece: int = PIECE, often: Often = NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of a text its anchor's place, ascending; the hash of the piece at each place; and which are frequent."""
+    if len(data) < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    h = pieces(data, piece)
+    order = often.order(h)
     wide = length - piece + 1
     best, covered = np.arange(len(h)), 1
     while covered < wide:
         step = min(covered, wide - covered)
         a, b = best[: len(best) - step], best[step:]
-        best = np.where(h[a] <= h[b], a, b)
+        best = np.where(order[a] <= order[b], a, b)
         covered += step
-    return best, h
+    return best, h, order >= LAST
 
 
 def keys_of_places(h: np.ndarray) -> np.ndarray:
     return sharedkeys.key_of(scramble(h ^ np.uint64(0x5851F42D4C957F2D)))
 
 
-def class_of(text: bytes) -> int:
-    """As the built-in function xxhash64 of the text."""
-    return int(np.array([xxhash.xxh64_intdigest(text, seed=42)], np.uint64).view(np.int64)[0])
+def class_of(text: bytes, bits: int = 64) -> int:
+    """As the built-in function xxhash64 of the text, its first bits."""
+    return int(np.array([xxhash.xxh64_intdigest(text, seed=42) >> 64 - bits], np.uint64).view(np.int64)[0])
 
 
 # -- suffix arrays ----------------------------------------------------------------------------------------------------
@@ -152,8 +197,19 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, rank: np.ndarray, starts: np.
     return out
 
 
-def least_ids(stretches: list[bytes], ids: np.ndarray, length: int = LENGTH, part_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
-    """For each window of each stretch the least id of the stretches in which it occurs."""
+def merged(known: np.ndarray, least: np.ndarray, windows: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two ascending lists of windows as one, with the least id of each, by binary search of the second's windows among the
+    first's; and the places at which windows were put in."""
+    at = np.searchsorted(known, windows)
+    found = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == windows) if len(known) else np.zeros(len(windows), bool)
+    least = least.copy()
+    least[at[found]] = np.minimum(least[at[found]], own[found])
+    fresh = at[~found]
+    return np.insert(known, fresh, windows[~found]), np.insert(least, fresh, own[~found]), fresh
+
+
+def kinds(stretches: list[bytes], ids: np.ndarray, length: int = LENGTH, part_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct windows of all stretches in order, the least id of each, and for each stretch the places of its windows."""
     parts, held, first = [], 0, 0
     for i, x in enumerate(stretches):
         if i > first and held + len(x) > part_bytes:
@@ -161,21 +217,24 @@ def least_ids(stretches: list[bytes], ids: np.ndarray, length: int = LENGTH, par
             first, held = i, 0
         held += len(x) + 1
     parts.append((first, len(stretches)))
-    merged, least, kinds = None, None, []
+    every, least, places = None, None, []
     for a, b in parts:
         windows, own, kind = _part(stretches[a:b], ids[a:b], length)
-        if merged is None:
-            merged, least, place = windows, own, np.arange(len(windows))
-        else:  # binary search of this part's windows among those before
-            at = np.searchsorted(merged, windows)
-            known = (at < len(merged)) & (merged[np.minimum(at, len(merged) - 1)] == windows) if len(merged) else np.zeros(len(windows), bool)
-            least[at[known]] = np.minimum(least[at[known]], own[known])
-            merged, least = np.insert(merged, at[~known], windows[~known]), np.insert(least, at[~known], own[~known])
-            for k in range(len(kinds)):  # places move up by the windows put before them
-                kinds[k] = [x + np.searchsorted(at[~known], x, side="right") for x in kinds[k]]
-            place = np.searchsorted(merged, windows)
-        kinds.append([place[x] for x in kind])
-    return [least[x] for part in kinds for x in part]
+        if every is None:
+            every, least, place = windows, own, np.arange(len(windows))
+        else:
+            every, least, fresh = merged(every, least, windows, own)
+            for k in range(len(places)):  # places move up by the windows put before them
+                places[k] = [x + np.searchsorted(fresh, x, side="right") for x in places[k]]
+            place = np.searchsorted(every, windows)
+        places.append([place[x] for x in kind])
+    return every, least, [x for part in places for x in part]
+
+
+def least_ids(stretches: list[bytes], ids: np.ndarray, length: int = LENGTH, part_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
+    """For each window of each stretch the least id of the stretches in which it occurs."""
+    _, least, places = kinds(stretches, ids, length, part_bytes)
+    return [least[x] for x in places]
 
 
 def _part(stretches: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -204,23 +263,33 @@ def _part(stretches: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndar
 # -- operator ---------------------------------------------------------------------------------------------------------
 
 STRETCHES = "shard int, bytes binary, sizes binary, which binary, classes binary, ids binary, starts binary"
-GONE = "home int, classes binary, starts binary, masks binary"
+#: What shards say. gone: windows to remove, by home. windows: a sub-shard's, by merging task. state: what it needs to end.
+GONE, WINDOWS, STATE = 0, 1, 2
+SAID = "kind int, number int, origin int, classes binary, starts binary, masks binary, which binary, ids binary, windows binary, places binary, least binary"
+LESSER = "number int, places binary, least binary"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
-def _stretches(texts: DataFrame, shards: int) -> DataFrame:
-    """Of each text the stretches at shared anchors, in blocks by shard; equal stretches of a block travel once."""
+def _stretches(texts: DataFrame, shards: int, salts: int, often: Often) -> DataFrame:
+    """Of each text the stretches at shared anchors, in blocks by shard; equal stretches of a block travel once. Stretches
+    at frequent anchors go to sub-shards, whose numbers are below 0."""
+    groups = max(1, shards // salts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in common.text_batches(batches, "text"):
             by_shard: dict[int, tuple[dict[bytes, int], list[tuple[int, int, int, int]]]] = {}
             for text, shared, number, order in zip(found, part.column("keys").to_pylist(), part.column("class").to_pylist(), part.column("id").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                place, h = anchors(np.frombuffer(raw, np.uint8))
+                place, h, last_resort = anchors(np.frombuffer(raw, np.uint8), often=often)
                 first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
                 last = np.append(first[1:], len(place)) - 1 + LENGTH
                 keys, wanted = keys_of_places(h[place[first]]), np.frombuffer(shared, "<u8")
                 hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys)
-                shard = (keys[hit] * np.uint64(shards) >> np.uint64(sharedkeys.KEY_BITS)).tolist()
+                sub = -1 - (sharedkeys.bucket_of(keys[hit], groups) * salts + number % salts)
+                shard = np.where(last_resort[place[first[hit]]], sub, sharedkeys.bucket_of(keys[hit], shards)).tolist()
                 for k, a, b in zip(shard, first[hit].tolist(), last[hit].tolist(), strict=True):
                     found_in = by_shard.get(k)
                     if found_in is None:
@@ -233,13 +302,13 @@ def _stretches(texts: DataFrame, shards: int) -> DataFrame:
                 values = (shard, b"".join(table), np.array([len(x) for x in table], "<u4").tobytes(), np.array(which, "<u4").tobytes(), np.array(classes, "<i8").tobytes(), np.array(ids, "<i8").tobytes(), np.array(starts, "<u4").tobytes())
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], [c.split()[0] for c in STRETCHES.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], _names(STRETCHES))
 
     return texts.mapInArrow(run, STRETCHES)
 
 
-def _judge(rows: pd.DataFrame, homes: int) -> pd.DataFrame:
-    """Of a shard: for each stretch of each text which of its windows an earlier text has, as bits."""
+def _read(rows: pd.DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's distinct stretches; and of each occurrence which it is, its text's class and id and its place there."""
     table: dict[bytes, int] = {}
     which, classes, ids, starts = [], [], [], []
     for row in rows.itertuples(index=False):
@@ -249,12 +318,13 @@ def _judge(rows: pd.DataFrame, homes: int) -> pd.DataFrame:
         classes.append(np.frombuffer(row.classes, "<i8"))
         ids.append(np.frombuffer(row.ids, "<i8"))
         starts.append(np.frombuffer(row.starts, "<u4"))
-    which, classes, ids, starts = map(np.concatenate, (which, classes, ids, starts))
-    first = np.full(len(table), np.iinfo(np.int64).max)
-    np.minimum.at(first, which, ids)
-    least = least_ids(list(table), first)
+    return list(table), *map(np.concatenate, (which, classes, ids, starts))
+
+
+def _gone(least: list[np.ndarray], which: np.ndarray, classes: np.ndarray, ids: np.ndarray, starts: np.ndarray, homes: int) -> pd.DataFrame:
+    """For each occurrence of a stretch which of its windows an earlier text has, as bits, by the text's home."""
     wide = LENGTH - PIECE + 1
-    padded = np.full((len(table), wide), np.iinfo(np.int64).max)
+    padded = np.full((len(least), wide), np.iinfo(np.int64).max)
     for i, x in enumerate(least):
         padded[i, : len(x)] = x
     masks = np.zeros(len(which), np.uint32)
@@ -265,8 +335,64 @@ def _judge(rows: pd.DataFrame, homes: int) -> pd.DataFrame:
     home = classes % homes
     order = np.argsort(home, kind="stable")
     edges = np.flatnonzero(np.diff(home[order], prepend=-1))
-    out = [(int(home[order[a]]), classes[order[a:b]].tobytes(), starts[order[a:b]].tobytes(), masks[order[a:b]].tobytes()) for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True)]
-    return pd.DataFrame(out, columns=[c.split()[0] for c in GONE.split(", ")])
+    out = [(GONE, int(home[order[a]]), classes[order[a:b]].tobytes(), starts[order[a:b]].tobytes(), masks[order[a:b]].tobytes()) for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True)]
+    return pd.DataFrame(out, columns=["kind", "number", "classes", "starts", "masks"]).reindex(columns=_names(SAID)).assign(origin=0)
+
+
+def _bytes_hash(windows: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        factors = scramble(np.arange(1, length + 1, dtype=np.uint64)) | np.uint64(1)
+        return scramble(windows.view(np.uint8).reshape(-1, length).astype(np.uint64) @ factors) if len(windows) else np.zeros(0, np.uint64)
+
+
+def _judge(rows: pd.DataFrame, homes: int, merges: int, part_bytes: int) -> pd.DataFrame:
+    """Of a shard what is to go; of a sub-shard its distinct windows, for the merging tasks, and its state."""
+    number = int(rows["shard"].iloc[0])
+    table, which, classes, ids, starts = _read(rows)
+    first = np.full(len(table), np.iinfo(np.int64).max)
+    np.minimum.at(first, which, ids)
+    windows, least, places = kinds(table, first, LENGTH, part_bytes)
+    if number >= 0:
+        return _gone([least[x] for x in places], which, classes, ids, starts, homes)
+    said: list[dict] = [{"kind": STATE, "number": number, "classes": classes.tobytes(), "starts": starts.tobytes(), "which": which.astype("<u4").tobytes(), "ids": ids.tobytes(), "windows": np.array([len(x) for x in places], np.uint8).tobytes(), "places": np.concatenate(places).astype("<u4").tobytes(), "least": least.tobytes()}]
+    to = (_bytes_hash(windows) % np.uint64(merges)).astype(np.int64)
+    order = np.argsort(to, kind="stable")  # windows stay in order within a task's
+    edges = np.flatnonzero(np.diff(to[order], prepend=-1))
+    for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
+        own = order[a:b]
+        said.append({"kind": WINDOWS, "number": int(to[own[0]]), "origin": number, "windows": windows[own].tobytes(), "places": own.astype("<u4").tobytes(), "least": least[own].tobytes()})
+    return pd.DataFrame(said).reindex(columns=_names(SAID)).assign(origin=lambda x: x["origin"].fillna(0).astype("int64"))
+
+
+def _merge(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sub-shards' windows merged by binary search; back goes where another sub-shard knows a lesser id. Lists are merged
+    two by two, so a window is moved as often as the number of sub-shards can be halved."""
+    lists = [(np.frombuffer(r.windows, f"S{LENGTH}"), np.frombuffer(r.least, "<i8")) for r in rows.itertuples(index=False)]
+    turns = lists
+    while len(turns) > 1:
+        turns = [merged(*turns[i], *turns[i + 1])[:2] if i + 1 < len(turns) else turns[i] for i in range(0, len(turns), 2)]
+    every, least = turns[0]
+    out = []
+    for (windows, own), row in zip(lists, rows.itertuples(index=False), strict=True):
+        best = least[np.searchsorted(every, windows)]
+        lesser = best < own
+        if lesser.any():
+            out.append((row.origin, np.frombuffer(row.places, "<u4")[lesser].tobytes(), best[lesser].tobytes()))
+    return pd.DataFrame(out, columns=_names(LESSER))
+
+
+def _settle(state: pd.DataFrame, lesser: pd.DataFrame, homes: int) -> pd.DataFrame:
+    """A sub-shard's end: what is to go, by all sub-shards' least ids."""
+    parts = []
+    for row in state.itertuples(index=False):
+        least = np.frombuffer(row.least, "<i8").copy()
+        for x in lesser.itertuples(index=False):
+            least[np.frombuffer(x.places, "<u4")] = np.frombuffer(x.least, "<i8")
+        ends = np.cumsum(np.frombuffer(row.windows, np.uint8).astype(np.int64))
+        places = np.split(np.frombuffer(row.places, "<u4"), ends[:-1])
+        which, classes, ids, starts = (np.frombuffer(x, k) for x, k in ((row.which, "<u4"), (row.classes, "<i8"), (row.ids, "<i8"), (row.starts, "<u4")))
+        parts.append(_gone([least[x] for x in places], which, classes, ids, starts, homes))
+    return pd.concat(parts) if parts else pd.DataFrame(columns=_names(SAID))
 
 
 def spans(size: int, starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -278,8 +404,8 @@ def spans(size: int, starts: np.ndarray, length: int = LENGTH) -> list[tuple[int
     return list(zip(starts[fresh].tolist(), (starts[np.append(fresh[1:], len(starts)) - 1] + length).tolist(), strict=True))
 
 
-def _remove(texts: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
-    """Texts of a bucket with their removed spans."""
+def _remove(texts: pd.DataFrame, gone: pd.DataFrame, with_text: bool) -> pd.DataFrame:
+    """Texts of a bucket with their removed spans and what is kept."""
     by_class: dict[int, np.ndarray] = {}
     if len(gone):
         classes, starts, masks = (np.concatenate([np.frombuffer(x, kind) for x in gone[c]]) for c, kind in (("classes", "<i8"), ("starts", "<u4"), ("masks", "<u4")))
@@ -299,52 +425,76 @@ def _remove(texts: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
                 kept.append(raw[at:a])
                 at = b
             kept = b"".join([*kept, raw[at:]])
-            out.append((number, [{"start": a, "end": b} for a, b in runs], kept))
-    return pd.DataFrame(out, columns=["class", "removed", "kept"])
+            out.append((number, [{"start": a, "end": b} for a, b in runs], kept if with_text else None, hashlib.sha256(kept).hexdigest()))
+    return pd.DataFrame(out, columns=["class", "removed", "kept", "kept_sha256"])
 
 
-def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, shard_bytes: int = SHARD_BYTES, class_bits: int = 64, salts: int | None = None, sample: int = SAMPLE_BYTES, share: float = SHARE, **frequent) -> DataFrame:
     """One row per row of ``docs``: id, ``n_bytes``, ``removed`` (array of byte spans), ``kept_bytes`` (null if nothing is
-    removed) and ``sha256`` of the whole text."""
+    removed, or without ``with_text``), ``sha256`` of the whole text and ``kept_sha256`` of what is kept.
+
+    ``class_bits``: of the first hash by which texts are told apart. ``salts``: sub-shards of a frequent anchor.
+    ``sample``, ``share`` and more: see ``sharedkeys.frequent``."""
+    if id_col in ("n_bytes", "removed", "kept_bytes", "sha256", "kept_sha256"):
+        raise ValueError(f"{id_col} is a column of the result")
     text = F.coalesce(F.col(text_col), F.lit(""))
     order = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    narrow = common.cut(docs.select(F.col(id_col).alias("doc"), order.alias("id"), F.xxhash64(text).alias("class"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha256")))
+    sha, first_hash = F.sha2(text.cast("binary"), 256), F.shiftrightunsigned(F.xxhash64(text), 64 - class_bits) if class_bits < 64 else F.xxhash64(text)
+    narrow = common.cut(docs.select(F.col(id_col).alias("doc"), order.alias("id"), first_hash.alias("class"), F.octet_length(text).cast("long").alias("n_bytes"), sha.alias("sha256")))
     reps = common.cut(narrow.groupBy("sha256").agg(F.min("id").alias("id"), F.min("class").alias("class")))
-    size = narrow.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = sharedkeys.buckets_for(size // ((LENGTH - PIECE + 2) // 2))
+    clashing = frozenset(r[0] for r in reps.groupBy("class").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("class").collect())
+    renamed = lambda number, digest: F.when(number.isin(*clashing), F.xxhash64(digest)).otherwise(number) if clashing else number
+    narrow, reps = (x.withColumn("class", renamed(F.col("class"), F.col("sha256"))) for x in (narrow, reps))
+    total = narrow.agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    size, rows = total["bytes"] or 0, total["rows"]
+
+    hashes, _ = sharedkeys.frequent(docs, lambda text: np.unique(pieces(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))), size, text_col=text_col, sample=sample, share=share, **{"most": 1 << 18} | frequent)
+    often = Often(hashes)
 
     def keys_of(text: str):
         raw = text.encode("utf-8", "surrogatepass")
-        place, h = anchors(np.frombuffer(raw, np.uint8))
-        return (class_of(raw), 0, np.unique(keys_of_places(h[np.unique(place)]))) if len(place) else None
+        place, h, _ = anchors(np.frombuffer(raw, np.uint8), often=often)
+        number = class_of(raw, class_bits)
+        number = class_of(hashlib.sha256(raw).hexdigest().encode()) if number in clashing else number
+        return (number, 0, np.unique(keys_of_places(h[np.unique(place)]))) if len(place) else None
 
     def each(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(c, keys.astype("<u8").tobytes()) for c, _, keys, _ in sharedkeys.gather(rows)], columns=["class", "keys"])
 
-    shared = sharedkeys.shared(docs, keys_of, buckets, each, "class long, keys binary", text_col=text_col)
+    table = sharedkeys.Frequent(np.unique(keys_of_places(hashes)), np.zeros(len(hashes), np.uint8))
+    shared = sharedkeys.shared(docs, keys_of, size // ((LENGTH - PIECE + 2) // 2), each, "class long, keys binary", text_col=text_col, table=table)
     active = shared.join(reps.select("class", "id"), "class")
-    texts = common.cut(docs.select(order.alias("id"), F.xxhash64(text).alias("class"), text.alias("text")).join(active, ["id", "class"]).dropDuplicates(["id", "class"]))
+    texts = common.cut(docs.select(order.alias("id"), renamed(first_hash, sha).alias("class"), text.alias("text")).join(active, ["id", "class"]).dropDuplicates(["id", "class"]))
     held = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(sharedkeys.LEAST_BUCKETS, -(-4 * held // SHARD_BYTES))
-
-    gone = _stretches(texts, shards).groupBy("shard").applyInPandas(lambda rows: _judge(rows, shards), GONE)
+    shards = max(sharedkeys.LEAST_BUCKETS, -(-4 * held // shard_bytes))
+    salts = salts or max(LEAST_SALTS, -(-rows // SUB_CLASSES))
+
+    dealt = _stretches(texts, shards, salts, often).groupBy("shard").applyInPandas(lambda rows: _judge(rows, shards, shards, shard_bytes), SAID)
+    if len(hashes):
+        said = common.cut(dealt)
+        state, windows = (said.where(F.col("kind") == k) for k in (STATE, WINDOWS))
+        lesser = windows.groupBy("number").applyInPandas(_merge, LESSER)
+        settled = state.groupBy("number").cogroup(lesser.groupBy("number")).applyInPandas(lambda a, b: _settle(a, b, shards), SAID)
+        dealt = said.where(F.col("kind") == GONE).union(settled)
+    gone = dealt.select(F.col("number").alias("home"), "classes", "starts", "masks")
     home = F.pmod(F.col("class"), F.lit(shards)).cast("int").alias("home")
     pair = texts.select(home, "class", "text").groupBy("home").cogroup(gone.groupBy("home"))
-    removed = pair.applyInPandas(_remove, "class long, removed array<struct<start:bigint,end:bigint>>, kept binary")
+    removed = pair.applyInPandas(lambda a, b: _remove(a, b, with_text), "class long, removed array<struct<start:bigint,end:bigint>>, kept binary, kept_sha256 string")
 
     first = reps.select("sha256", F.col("id").alias("first")).join(narrow.select("doc", "id", "n_bytes", "class", "sha256"), "sha256")
     out = first.join(removed, "class", "left")
     copied = (F.col("id") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
     all_ = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return out.select(F.col("doc").alias(id_col), "n_bytes", F.when(copied, all_).otherwise(F.coalesce("removed", none)).alias("removed"), F.when(copied, F.lit(b"")).otherwise(F.col("kept")).alias("kept_bytes"), "sha256")
+    kept_sha = F.when(copied, EMPTY).otherwise(F.coalesce("kept_sha256", "sha256"))
+    kept = F.when(copied, F.lit(b"")).otherwise(F.col("kept")) if with_text else F.lit(None).cast("binary")
+    return out.select(F.col("doc").alias(id_col), "n_bytes", F.when(copied, all_).otherwise(F.coalesce("removed", none)).alias("removed"), kept.alias("kept_bytes"), "sha256", kept_sha.alias("kept_sha256"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup(common.documents(spark, sf_dir))
+    found = suffix_dedup(common.documents(spark, sf_dir), with_text=False)
     lengths = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    kept = F.when(F.col("kept_bytes").isNull(), F.col("sha256")).otherwise(F.sha2("kept_bytes", 256))
-    return found.select("doc_id", "n_bytes", lengths.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), kept.alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", lengths.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
 QUERIES = {"op5_suffix_dedup": op5_suffix_dedup}
