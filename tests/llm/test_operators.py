@@ -49,6 +49,21 @@ def test_token_counts(odd, none, rows, bpe):
     assert token_counts.token_counts(none).count() == 0
 
 
+def test_any_budget_is_answered_from_the_stored_prefixes(spark, odd, none, rows, bpe, tmp_path):
+    token_counts.prefix_table(odd).write.parquet(str(tmp_path / "prefixes"))
+    stored = spark.read.parquet(str(tmp_path / "prefixes"))
+    budgets = [0, 1, 7, 100, 10**6]
+    got = token_counts.fit_within(stored, budgets).collect()
+    want = token_counts.token_counts(odd, budgets=budgets).collect()
+    shown = lambda found: sorted(((r.doc_id, *(r[f"fit_{b}"] for b in budgets)) for r in found), key=key)
+    assert shown(got) == shown(want) and len(got) == len(rows)
+    jumpy = np.array([0, 300, 2, 5])
+    assert token_counts.counts_of(token_counts.steps_of(jumpy), 3).tolist() == jumpy.tolist()
+    assert token_counts.fit_within(token_counts.prefix_table(none), [5]).count() == 0
+    with pytest.raises(ValueError, match="n_tokens"):
+        token_counts.token_counts(odd.withColumnRenamed("doc_id", "n_tokens"), id_col="n_tokens")
+
+
 def test_packing(spark, odd, none, rows, bpe):
     got = packing.pack(odd, capacity=256, block=2000).collect()
     ids = {}
@@ -133,6 +148,12 @@ def test_exact_dedup(odd, none, rows):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_the_least_and_greatest_ids(spark):
+    rows = [(-(1 << 63), "a b"), ((1 << 63) - 1, "ab"), (0, "a  b"), (5, "x"), (-(1 << 63), "x")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got), key=key) == brute_exact(rows)
+
+
 def test_equal_digests_of_different_texts_are_told_apart(odd, rows):
     weak = lambda text: F.substring(F.sha2(text.cast("binary"), 256), 1, 1)
     got = exact_dedup.exact_dedup(odd, digest=weak).collect()
@@ -515,6 +536,57 @@ def test_toxicity(spark, odd, none, rows, labels, no_labels):
     assert toxicity.score(odd, toxicity.train(odd, no_labels)).where("score > 0.01").isEmpty() and toxicity.score(odd, toxicity.train(odd, labels)).count() == len(rows)
 
 
+def test_mixtures_equal_a_grid_search():
+    r = np.random.default_rng(5)
+    table = r.dirichlet(np.full(64, 0.3), 2) + 1e-4
+    table /= table.sum(axis=1, keepdims=True)
+    for share in (0.0, 0.25, 0.6, 1.0):
+        counts = np.bincount(r.choice(64, 3000, p=share * table[0] + (1 - share) * table[1]), minlength=64).astype(float)
+        shares, value = language_id.proportions(table, counts, steps=500)
+        grid = [counts @ np.log(x * table[0] + (1 - x) * table[1]) for x in np.linspace(0, 1, 1001)]
+        assert abs(shares[0] - np.argmax(grid) / 1000) < 0.02 and abs(value - max(grid)) < 0.5
+        grams = np.repeat(np.arange(64), counts.astype(int))
+        best = max(counts @ np.log(t) for t in table)
+        both = max(grid) - best > language_id.PENALTY * np.log(len(grams) + 1)
+        assert (language_id.infer(table, grams) > 0).sum() == (2 if both else 1) and both == (0 < share < 1)
+
+
+def test_languages_beyond_the_model(spark):
+    docs = spark.createDataFrame([(i, "abc def ghi " * (1 + i), f"l{i:03d}") for i in range(40)] + [(99, "x", None)], "doc_id bigint, text string, lang string")
+    names, table = language_id.learn(docs, most=5)
+    assert names == [f"l{i:03d}" for i in range(35, 40)] and table.shape[0] == 5
+
+
+def test_weights_make_the_penalised_loss_small():
+    """Brute force: no other weights tried have a lower loss, and the loss itself is the plain formula's."""
+    r = np.random.default_rng(9)
+    n, size = 400, 12
+    rows = [np.flatnonzero(r.random(size) < 0.3).astype(np.int32) for _ in range(n)]
+    swapped = [np.unique(np.where(x == 0, 1, np.where(x == 1, 0, x))).astype(np.int32) for x in rows]
+    label = np.array([float((0 in x) * 0.8 + (3 in x) * 1.2 + r.normal() * 0.4 > 0.9) for x in rows])
+    differ = np.array([x.tolist() != y.tolist() for x, y in zip(rows, swapped, strict=True)])
+    x, y = toxicity._Csr(rows, size), toxicity._Csr(swapped, size)
+    model = toxicity.fit(label, x, y, differ, np.arange(size), steps=3000)
+    best = toxicity.loss(label, x, y, differ, model.weights, model.bias)
+    z = [sum(model.weights[k] for k in row) + model.bias for row in rows]
+    z2 = [sum(model.weights[k] for k in row) + model.bias for row in swapped]
+    balance = [((n - label.sum()) / label.sum()) ** 0.5 if t else 1.0 for t in label]
+    plain = sum(b * (math.log1p(math.exp(v)) - t * v) for b, v, t in zip(balance, z, label, strict=True)) / sum(balance)
+    plain += toxicity.L2 / 2 * sum(w * w for w in model.weights) + sum((a - b) ** 2 for a, b, d in zip(z, z2, differ, strict=True) if d) / differ.sum()
+    assert best == pytest.approx(plain)
+    for _ in range(300):
+        other = model.weights + r.normal(size=size) * r.choice([0.02, 0.1, 0.5])
+        assert toxicity.loss(label, x, y, differ, other, model.bias + r.normal() * 0.05) > best
+    free = toxicity.fit(label, x, y, differ, np.arange(size), steps=3000, swap=0.0)
+    assert abs(model.weights[0] - model.weights[1]) < 0.2 * abs(free.weights[0] - free.weights[1])
+
+
+def test_places_are_packed_either_way():
+    for size, some in ((5000, range(0, 5000, 3)), (5000, [4999]), (5000, []), (3, [0, 2])):
+        data = toxicity.packed(np.array(some, np.int64), size)
+        assert toxicity.unpacked(data, size).tolist() == list(some) and len(data) <= 1 + max(size // 8 + 1, 4)
+
+
 def test_sentencepieces(odd, none, rows):
     got = sentencepieces.encode(odd).collect()
     assert len(got) == len(rows) and all(x.lossless for x in got)

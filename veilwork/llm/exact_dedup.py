@@ -165,8 +165,9 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, *keys: str) -> DataFrame:
-    """Size and best row of each group: the most code points, then the smallest id (null last), then the first row."""
-    best = F.max(F.struct("chars", F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("minus"), (-F.col("row")).alias("row"))).alias("best")
+    """Size and best row of each group: the most code points, then the smallest id (null last), then the first row. Ids are
+    turned round by their bits, which no id overflows."""
+    best = F.max(F.struct("chars", F.col("id").isNotNull().alias("known"), F.bitwise_not("id").alias("minus"), F.bitwise_not("row").alias("row"))).alias("best")
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), best)
 
 
@@ -208,7 +209,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         whole = whole.join(split.withColumn("split", F.lit(True)), "digest", "left").withColumn("norm", F.when(F.col("split"), F.col("norm")).otherwise(F.lit("")))
         keys = ["digest", "norm"]
     total = _grouped(whole, *keys) if len(keys) > 1 else _joined(groups, matched)
-    members = total.where("size > 1").select(*keys, F.col("size"), F.when(F.col("best.known"), -F.col("best.minus")).alias("keep"), (-F.col("best.row")).alias("keep_row"), F.lit(True).alias("many"))
+    members = total.where("size > 1").select(*keys, F.col("size"), F.when(F.col("best.known"), F.bitwise_not("best.minus")).alias("keep"), F.bitwise_not("best.row").alias("keep_row"), F.lit(True).alias("many"))
     out = whole.join(members, keys, "left")
     keep = F.when(F.col("many"), F.col("keep")).otherwise(F.col("id"))
     kept = keep.eqNullSafe(F.col("id")) & (F.coalesce("keep_row", "row") == F.col("row"))

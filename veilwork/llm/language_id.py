@@ -9,6 +9,9 @@ by one, the smallest share first. The prediction is the language of the largest
 
 Null text, and text without a letter, gives ``und`` and score 0. Rows with null language are not learned from. Ties go to
 the first language by name. With nothing to learn from, all is ``und``. Repeated rows are counted as often as they occur.
+An empty table gives no rows. Only the id, text and language columns are read, whatever others are named; an id column
+named like a column of the result is an error. A text of any length is read whole; a task holds eight numbers or so for
+each of its characters.
 """
 
 from __future__ import annotations
@@ -55,8 +58,9 @@ def trigrams(text: str) -> np.ndarray:
     return (mixed >> np.uint32(32 - BITS)).astype(np.int64)
 
 
-def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages by name and the probability of each trigram in each, from all rows that have a language."""
+def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
+    """Languages by name and the probability of each trigram in each, from all rows that have a language; of more than
+    ``most`` languages those with the most text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
@@ -64,15 +68,21 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
             for lang, text in zip(part.column(1).to_pylist(), texts, strict=True):
                 table = tables.setdefault(lang, np.zeros(1 << BITS, np.int64))
                 table += np.bincount(trigrams(text), minlength=1 << BITS)
+                if len(tables) >= MOST_LANGUAGES:  # a task holds no more tables than the model
+                    yield from flush(tables)
+        yield from flush(tables)
+
+    def flush(tables: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for lang, table in tables.items():
             at = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(table[at], pa.int64())], ["lang", "gram", "n"])
+        tables.clear()
 
     rows = docs.where(F.col(lang_col).isNotNull()).select(text_col, lang_col).mapInArrow(count, "lang string, gram int, n long")
-    found = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).limit((MOST_LANGUAGES << BITS) + 1).toPandas()
+    found = common.cut(rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    learned = found.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(most).select("lang")
+    found = found.join(F.broadcast(learned), "lang").toPandas()  # at most ``most`` times 2 ** BITS numbers
     names = sorted(found["lang"].unique())
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     counts = np.zeros((len(names), 1 << BITS))
     counts[np.searchsorted(names, found["lang"].to_numpy(str)) if names else [], found["gram"].to_numpy(int)] = found["n"].to_numpy(float)
     counts += SMOOTH * counts.sum(axis=1, keepdims=True) / (1 << BITS) / 100 + 0.01
@@ -120,6 +130,8 @@ def infer(table: np.ndarray, grams: np.ndarray, penalty: float = PENALTY) -> np.
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
     """One row per document: id, ``lang_pred``, ``score``, and ``languages`` with the share of each language chosen."""
+    if id_col in ("lang_pred", "score", "languages"):
+        raise ValueError(f"{id_col} is a column of the result")
     source = docs.select(id_col, text_col)
     names, table = model
     held = docs.sparkSession.sparkContext.broadcast(table.astype(np.float32))

@@ -10,7 +10,9 @@ The distinct chunks of a batch are filtered together, offset by offset, and all
 
 A space is the piece symbol U+2581; that symbol itself, and characters no piece has, are written as bytes. Nothing is
 normalised, so decoding gives back the exact text. Null and empty text have no pieces. A null key seeds as 0, rows with
-equal keys and texts are encoded alike. An empty table gives no rows.
+equal keys and texts are encoded alike. An empty table gives no rows. Only the id and text columns are read, whatever
+others are named; an id column named like a column of the result is an error. A text of any length is encoded whole; a
+chunk without spaces takes time and memory in proportion to its length, some ten numbers a character.
 """
 
 from __future__ import annotations
@@ -266,6 +268,8 @@ def load(path: str, alpha: float = ALPHA) -> Pieces:
 
 def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, path: str | None = None) -> DataFrame:
     """One row per document: id, ``n_bytes``, ``ids``, and ``lossless``: that decoding the ids gives the text."""
+    if id_col in ("n_bytes", "ids", "lossless", "seed"):
+        raise ValueError(f"{id_col} is a column of the result")
     source = docs.select(id_col, text_col)
     seeded = source.withColumn("seed", F.when(F.col(id_col).isNull(), 0).otherwise(F.xxhash64(id_col)).cast("long"))
     schema = T.StructType([T.StructField(id_col, source.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
@@ -298,7 +302,7 @@ def decode(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids",
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode(common.documents(spark, sf_dir))
-    return found.select("doc_id", "n_bytes", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxhash64"), "lossless")
+    return found.select("doc_id", "n_bytes", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxhash64"), "lossless", "ids")
 
 
 QUERIES = {"op7_sentencepiece": op7_sentencepiece}
