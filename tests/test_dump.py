@@ -6,6 +6,7 @@ import pytest
 
 from veilwork import cli
 from veilwork.sources import detect, sqldump, sqltext
+from veilwork.sources import files as opening
 
 POLICY = """
 [rules.users]
@@ -38,8 +39,8 @@ CREATE TABLE other (z int, w varchar);
 """
 
 
-@pytest.fixture
-def files(tmp_path):
+@pytest.fixture(name="files")
+def made_files(tmp_path):
     (tmp_path / "d.sql").write_text(DUMP)
     (tmp_path / "p.toml").write_text(POLICY)
     return tmp_path
@@ -172,3 +173,59 @@ def test_comments_in_a_definition_hide_no_column(spark, files):
     (files / "p.toml").write_text('[rules.users]\nemail = { strategy = "redact" }\nssn = { strategy = "redact" }\n')
     code, text = run(spark, files, "--strict-coverage", name="c.sql")
     assert code == 0 and "VALUES (1, 'REDACTED', 'REDACTED');" in text and "-- the user's id" in text
+
+
+def test_long_inserts_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    """Cuts lie between rows, whatever rows and line ends look like; the masked dump is the same however it is cut."""
+    rows = [f"({i}, 'a;b(\n, (''{i}')" for i in range(60)]
+    text = "INSERT INTO t (a, b)\nVALUES\n" + ",\n".join(rows[:30]) + "\n  , " + "\n,".join(rows[30:]) + "\nON CONFLICT (a, b)\n DO NOTHING -- ); (\n;\nSELECT 1;\n"
+    (tmp_path / "d.sql").write_text(text)
+    raw = text.encode().splitlines(True)
+    whole, cut = list(sqltext.segments(raw)), list(sqltext.segments(raw, cut_bytes=50))
+    assert whole[0].more == {"cuts": [], "tail": "ON CONFLICT (a, b)\n DO NOTHING -- ); (\n;\n"} == {**cut[0].more, "cuts": []} and len(cut[0].more["cuts"]) > 10
+    assert [(s.kind, s.start, s.end) for s in whole] == [(s.kind, s.start, s.end) for s in cut]
+    from veilwork.sources import dumpreader
+
+    monkeypatch.setattr(dumpreader, "PIECE_BYTES", 50)
+    pieces = dumpreader._pieces(str(tmp_path / "d.sql"), dumpreader.index(str(tmp_path / "d.sql")), "t")
+    assert len(pieces) > 10
+    reader = dumpreader._Reader({"path": f"file://{tmp_path}/d.sql"})
+    got = [row for p in pieces for row in reader.read(p)]
+    assert [r[4] for r in got] == [[str(i), f"a;b(\n, ('{i}"] for i in range(60)] and [r[2] for r in got] == sorted({r[2] for r in got})
+
+
+def test_stores_that_arrow_reads(tmp_path):
+    (tmp_path / "x").write_bytes(b"one\ntwo\nthree")
+    with opening.stored(f"file://{tmp_path}/x") as a, opening.opened(str(tmp_path / "x")) as b:
+        for f in (a, b):
+            assert f.readline() == b"one\n" and f.tell() == 4 and list(f) == [b"two\n", b"three"]
+            f.seek(5)
+            assert f.read(2) == b"wo"
+
+
+def test_standard_input(spark, files, monkeypatch, capsysbinary):
+    import io
+    import types
+
+    monkeypatch.setattr(cli.sys, "stdin", types.SimpleNamespace(buffer=io.BytesIO(b"INSERT INTO users (id, email) VALUES (1, 'a@b.co');\n")))
+    (files / "p.toml").write_text('[rules.users]\nemail = { strategy = "redact" }\n')
+    assert cli.main(["-c", str(files / "p.toml")], spark=spark) == 0
+    assert capsysbinary.readouterr().out.endswith(b"INSERT INTO users (id, email) VALUES (1, 'REDACTED');\n")
+
+
+def test_archives_go_through_the_tool(spark, files):
+    """A stand-in for the tool: it writes a dump and fails if asked to."""
+    tool = files / "restore"
+    tool.write_text("#!/bin/sh\ncase \"$3\" in --fail) echo broken >&2; exit 3;; esac\necho \"INSERT INTO users (id, email) VALUES (1, 'x@y.zz');\"\n")
+    tool.chmod(0o755)
+    (files / "a.dump").write_bytes(b"PGDMP\x01rest")
+    (files / "p.toml").write_text('[rules.users]\nemail = { strategy = "redact" }\n')
+    code, text = run(spark, files, "--pg-restore-path", str(tool), "--stats", name="a.dump")
+    assert code == 0 and "VALUES (1, 'REDACTED');" in text and (files / "a.dump").exists()
+    assert run(spark, files, "--pg-restore-path", str(tool), "--pg-restore-arg=--fail", name="a.dump")[0] == 1
+
+
+def test_stats_line(spark, files, capsys):
+    (files / "p.toml").write_text(POLICY)
+    assert run(spark, files, "--stats")[0] == 0
+    assert "rows=" in (line := capsys.readouterr().err) and "dropped=2" in line and "wall_ms=" in line

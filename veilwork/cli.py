@@ -140,8 +140,9 @@ def _mask(args, spark) -> int:
             source = _without_first_line(source, spark)
         with os.fdopen(handle, "wb") as out:
             out.write(current.line().encode())
-            sqldump.rewrite(spark, str(source.path), out, m, dialect=args.format)
-        return _finish(args, spark, source, staged, m, own, hardened, begun)
+            found = sqldump.index(str(source.path), sqltext.DIALECTS[args.format])
+            sqldump.rewrite(spark, str(source.path), out, m, dialect=args.format, found=found)
+        return _finish(args, spark, source, found, staged, m, own, hardened, begun)
     finally:
         if staged is not None:
             staged.unlink(missing_ok=True)
@@ -161,15 +162,16 @@ def _made(folder: str) -> str:
     return folder
 
 
-def _finish(args, spark, source, staged, m, own, hardened, begun) -> int:
+def _finish(args, spark, source, found, staged, m, own, hardened, begun) -> int:
     dialect = sqltext.DIALECTS[args.format]
-    found = sqldump.index(str(source.path), dialect)
     columns = sqldump.tables(found)
     covered = coverage.coverage(own, columns)
     scanned = scan.report(spark.read.text(str(staged)), ["value"], own.output_scan) if args.scan_output else None
     counted, happened = [], []
-    for t in columns if args.report or args.stats or args.check else ():
-        rows = sqldump.with_columns(sqldump.read(spark, str(source.path), dialect=dialect, table=t), columns[t]).select(*(f"`{c}`" for c in columns[t]))
+    wanted = columns if args.report or args.stats or args.check else {}
+    saved = sqldump.save_index(spark, found) if wanted else None
+    for t in wanted:
+        rows = sqldump.with_columns(sqldump.read(spark, str(source.path), dialect=dialect, table=t, saved=saved), columns[t]).select(*(f"`{c}`" for c in columns[t]))
         counted += report.counts(m, rows, t).collect()
         if args.report:
             happened += list(report.events(m, rows, t).toLocalIterator())

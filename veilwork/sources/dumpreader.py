@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from veilwork.sources import sqltext
+from veilwork.sources import files, sqltext
 from veilwork.sources.sqltext import Segment
 
 META = "struct<quoted:boolean,bare:string,tail:string,prefix:string>"
@@ -28,8 +29,8 @@ class _Piece(InputPartition):
 
 def index(path: str, dialect: str = "postgres") -> list[Segment]:
     """The segments of a dump; INSERTs without columns take those of the table's definition."""
-    with open(path, "rb", buffering=1 << 18) as file:
-        found = list(sqltext.segments(file, dialect))
+    with files.opened(path) as file:
+        found = list(sqltext.segments(file, dialect, PIECE_BYTES))
     defined = {s.table.lower(): [c for c, _ in s.more["definition"]] for s in found if s.kind == "create"}
     for s in found:
         if s.kind in ("insert", "copy") and s.columns is None:
@@ -63,18 +64,18 @@ def tables(found: list[Segment]) -> dict[str, list[str]]:
 
 def _pieces(path: str, found: list[Segment], table: str | None) -> list[_Piece]:
     out, parts, held = [], [], 0
-    with open(path, "rb") as file:
+    with files.opened(path) as file:
         for number, s in enumerate(found):
             if s.kind not in ("insert", "copy") or table is not None and s.table.lower() != table.lower():
                 continue
-            start = s.body if s.kind == "copy" else s.start
+            start, cuts = s.body if s.kind == "copy" else s.start, iter([*s.more.get("cuts", ()), s.end])
             while start < s.end:
-                end = s.end
+                end = next(cuts) if s.kind == "insert" else s.end
                 if s.kind == "copy" and end - start > PIECE_BYTES:
                     file.seek(start + PIECE_BYTES)
                     file.readline()
                     end = min(file.tell(), s.end)
-                parts.append((number, s.kind, s.table, s.columns, start, end, len(s.header), start))
+                parts.append((number, s.kind, s.table, s.columns, start, end, len(s.header) if start == s.start else 0, start - s.start))
                 held += end - start
                 start = end
                 if held >= PIECE_BYTES:
@@ -88,21 +89,24 @@ class _Reader(DataSourceReader):
         self.path = options.get("path")
         if not self.path:
             raise ValueError("sqldump needs a path")
-        self.path = self.path.removeprefix("file://")
+        self.index = options.get("index")
         self.dialect = sqltext.DIALECTS[options.get("dialect", "postgres").lower()]
         self.table = options.get("table")
 
     def partitions(self):
+        if self.index:
+            with files.opened(self.index) as file:
+                return _pieces(self.path, pickle.load(file), self.table)
         return _pieces(self.path, index(self.path, self.dialect), self.table)
 
     def read(self, partition: _Piece) -> Iterator[tuple]:
-        with open(self.path, "rb", buffering=1 << 18) as file:
+        with files.opened(self.path) as file:
             for number, kind, table, columns, start, end, header, base in partition.parts:
                 file.seek(start)
-                if kind == "insert":
+                if kind == "insert":  # rows count from their piece's place, which is far enough from the next
                     text = file.read(end - start).decode("utf-8", "surrogateescape")
-                    for i, row in enumerate(sqltext.rows(text, header)[0]):
-                        yield table, number, i, columns, [c.value for c in row], [(c.quoted, c.bare, c.tail, c.prefix) for c in row]
+                    for i, row in enumerate(sqltext.rows(text if header else text.lstrip().removeprefix(","), header)[0]):
+                        yield table, number, base + i, columns, [c.value for c in row], [(c.quoted, c.bare, c.tail, c.prefix) for c in row]
                     continue
                 at = start
                 while at < end:  # a row's number is its byte place, which is in order and needs no counting across pieces
@@ -113,7 +117,7 @@ class _Reader(DataSourceReader):
 
 
 class SqlDump(DataSource):
-    """Options: path, dialect (postgres, sqlite, mssql), table."""
+    """Options: path, dialect (postgres, sqlite, mssql), table, and index, a file of segments found before (``save_index``)."""
 
     @classmethod
     def name(cls) -> str:

@@ -1,9 +1,10 @@
 """SQL dumps as a Spark data source, and writing a masked dump.
 
 ``spark.read.format("sqldump").load(path)`` gives the rows of all tables of a dump: table, segment and row numbers, column
-names, cells as text, and how each cell was written. The driver finds the segments' places in one pass; large COPY blocks
-are cut between rows; tasks then read and parse their own byte ranges, so parsing is spread over the executors, which must
-see the file. ``read_table`` gives one table with its columns.
+names, cells as text, and how each cell was written. The driver finds the segments' places in one pass for all tables and
+holds none of their rows; large COPY blocks and INSERTs are cut between rows; tasks then read and parse their own byte
+ranges, so parsing is spread over the executors, which must see the file (see ``files``). ``read_table`` gives one table
+with its columns.
 
 ``rewrite`` masks a dump: text that no rule touches is copied byte for byte, rewritten rows come from one ordered stream
 of rendered lines.
@@ -12,6 +13,8 @@ of rendered lines.
 from __future__ import annotations
 
 import os
+import pickle
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from veilwork.operators import storage
 from veilwork.operators.masking import Masking
-from veilwork.sources import sqltext
+from veilwork.sources import files, sqltext
 from veilwork.sources.dumpreader import SqlDump, index, lengths, tables
 from veilwork.sources.sqltext import Segment
 
@@ -28,9 +31,26 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SqlDump)
 
 
-def read(spark: SparkSession, path: str, *, dialect: str = "postgres", table: str | None = None) -> DataFrame:
+def save_index(spark: SparkSession, found: list[Segment]) -> str:
+    """The segments of a dump in a file beside the checkpoints, so that reading its tables doesn't search it again."""
+    context = spark.sparkContext
+    name = f"{storage.folder(spark).rstrip('/')}/dump-index-{uuid.uuid4().hex}.pickle"
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    fs = path.getFileSystem(context._jsc.hadoopConfiguration())
+    stream = fs.create(path, True)
+    try:
+        stream.write(bytearray(pickle.dumps(found)))
+    finally:
+        stream.close()
+    fs.deleteOnExit(path)
+    return name
+
+
+def read(spark: SparkSession, path: str, *, dialect: str = "postgres", table: str | None = None, saved: str | None = None) -> DataFrame:
+    """``saved``: the dump's index if there is one (``save_index``)."""
     register(spark)
     reader = spark.read.format("sqldump").option("dialect", dialect)
+    reader = reader.option("index", saved) if saved else reader
     return (reader.option("table", table) if table else reader).load(str(path))
 
 
@@ -43,11 +63,11 @@ def with_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str, table: str, *, dialect: str = "postgres") -> DataFrame:
     """One table of a dump, its columns as text."""
-    found = index(path, dialect)
+    found = index(path, sqltext.DIALECTS[dialect.lower()])
     columns = next((c for t, c in tables(found).items() if t.lower() == table.lower()), None)
     if columns is None:
         raise sqltext.DumpError(f"{table} is not in the dump")
-    rows = with_columns(read(spark, path, dialect=dialect, table=table), columns)
+    rows = with_columns(read(spark, path, dialect=dialect, table=table, saved=save_index(spark, found)), columns)
     return rows.select(*(F.col(f"`{c}`") for c in columns))
 
 
@@ -103,27 +123,29 @@ def touched(m: Masking, table: str, columns: list[str]) -> bool:
     return policy.row_filter(table) is not None or any(policy.rule(table, c) is not None or policy.cases(table, c) or policy.json_rules(table, c, tuple(columns)) for c in columns)
 
 
-def rewrite(spark: SparkSession, path: str, out, m: Masking, *, dialect: str = "postgres") -> dict[str, DataFrame]:
-    """Writes the masked dump to ``out``, a binary file, and returns the tables that the policy touches, as read."""
+def rewrite(spark: SparkSession, path: str, out, m: Masking, *, dialect: str = "postgres", found: list[Segment] | None = None) -> dict[str, DataFrame]:
+    """Writes the masked dump to ``out``, a binary file, and returns the tables that the policy touches, as read.
+    ``found``: the dump's segments if they are known."""
     dialect = sqltext.DIALECTS[dialect.lower()]
-    found = index(path, dialect)
+    found = index(path, dialect) if found is None else found
+    saved = save_index(spark, found)
     m = Masking(m.policy, m.profile, lengths(found), m.mappings)
     by_table = tables(found)
     changed = {t: c for t, c in by_table.items() if touched(m, t, c)}
-    read_in = {t: with_columns(read(spark, path, dialect=dialect, table=t), c) for t, c in changed.items()}
+    read_in = {t: with_columns(read(spark, path, dialect=dialect, table=t, saved=saved), c) for t, c in changed.items()}
     m = m.with_unique(read_in)
     lines = None
     for t, columns in changed.items():
         kinds = {s.kind for s in found if s.table == t}
         for kind in kinds & {"insert", "copy"}:
             numbers = [i for i, s in enumerate(found) if s.table == t and s.kind == kind]
-            own = read(spark, path, dialect=dialect, table=t)
+            own = read(spark, path, dialect=dialect, table=t, saved=saved)
             if len(kinds & {"insert", "copy"}) > 1:
                 own = own.join(F.broadcast(spark.createDataFrame([(n,) for n in numbers], "segment long")), "segment", "left_semi") if len(numbers) < 10_000 else own.where(F.col("meta").isNull() if kind == "copy" else F.col("meta").isNotNull())
             part = rendered(m, own, t, columns, kind == "copy")
             lines = part if lines is None else lines.unionByName(part)
     stream = iter(()) if lines is None else storage.cut(lines.repartitionByRange("segment", "row").sortWithinPartitions("segment", "row")).orderBy("segment", "row").toLocalIterator(prefetchPartitions=True)
-    with open(path, "rb", buffering=1 << 18) as source:
+    with files.opened(path) as source:
         _splice(source, out, found, set(changed), stream)
     return read_in
 
@@ -136,10 +158,7 @@ def _splice(source, out, found: list[Segment], changed: set[str], stream: Iterat
             _copied(source, out, s.end - source.tell())
             continue
         if s.kind == "insert":
-            source.seek(s.start)
-            text = source.read(s.end - s.start).decode("utf-8", "surrogateescape")
-            tail = sqltext.rows(text, len(s.header))[1]
-            first = True
+            tail, first = s.more["tail"], True
             while row is not None and row["segment"] == number:
                 out.write(((s.header.rstrip() + " ") if first else ", ").encode("utf-8", "surrogateescape") + row["text"].encode("utf-8", "surrogateescape"))
                 first, row = False, next(stream, None)
