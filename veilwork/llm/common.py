@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,26 +20,54 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the session's spark.checkpoint.dir; only where that is unset, a default."""
+    """The shared folder for cut lineage: the session's spark.checkpoint.dir. Only a session on one machine may leave it
+    unset and gets a local folder."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if folder is None:
+        if not (context.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "/tmp/checkpoints/veilwork"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
 
+#: Lists that take the folders of tables while they are cut (see ``collecting``).
+_TAKERS: list[list[str]] = []
+
+
+@contextmanager
+def collecting(folders: list[str]) -> Iterator[None]:
+    """While it holds, the folders of all tables that are cut are added to a list, for ``drop``."""
+    _TAKERS.append(folders)
+    try:
+        yield
+    finally:
+        _TAKERS.remove(folders)
+
+
+def drop(spark: SparkSession, folders: list[str]) -> None:
+    """Removes cut tables that nothing reads any more; the list is empty afterwards."""
+    context = spark.sparkContext
+    while folders:
+        path = context._jvm.org.apache.hadoop.fs.Path(folders.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder, so that a lost executor can't make them be computed again differently.
 
-    A Parquet table rather than ``checkpoint()``: the readers prune its columns and it takes a fraction of the disk.
+    A Parquet table rather than ``checkpoint()``: the readers prune its columns and it takes a fraction of the disk. It goes
+    when the application ends, or before that by ``drop``.
     """
     path = f"{checkpoint_dir(frame.sparkSession).rstrip('/')}/veilwork-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
     context = frame.sparkSession.sparkContext
     folder = context._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    for taker in _TAKERS:
+        taker.append(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
