@@ -4,10 +4,16 @@ Each stage takes the documents its predecessor kept, as read back from Parquet,
 the last returns the packed pieces. Rows are told apart by a running number, so rows with equal or null ids are each
 decided for themselves; the numbered table is written once, as a number that were computed again could fall on another row.
 Null texts fail the quality rules, empty tables pass through empty.
+
+A stage's result must be written before the next stage is called, as ``run`` does: a stage begins by removing the tables
+that the stage before it has cut.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +25,18 @@ from veilwork.llm.quality import quality
 from veilwork.llm.secrets import redact, secret_scan
 
 ROW = "_row_of_stage"
+#: Folders of the tables that the last stage has cut.
+_CUT: list[str] = []
+
+
+def _stage(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @functools.wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.drop(spark, _CUT)
+        with common.collecting(_CUT):
+            return stage(spark, docs, sf_dir)
+
+    return begun
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -29,18 +47,21 @@ def _keeping(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted.select(ROW), ROW, "left_semi").select(*docs.columns)
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor a certified cutoff rejects."""
     rows = _numbered(docs)
     return _keeping(docs, rows, quality(rows, common.labels(spark, sf_dir), row_col=ROW).where("kept"))
 
 
+@_stage
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the longest original stays, then the least id, then the first row."""
     rows = _numbered(docs)
     return _keeping(docs, rows, exact_dedup(rows, row_col=ROW).where("kept"))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the least id stays; documents without words are in none and stay."""
     rows = _numbered(docs)
@@ -50,6 +71,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _keeping(docs, rows, first.union(found.where(F.col("component").isNull()).select(ROW)))
 
 
+@_stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with its secrets replaced in the text."""
     rows = _numbered(docs)
@@ -59,6 +81,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences."""
     return pack(docs)
@@ -70,7 +93,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over ``documents``, each cut from its predecessor by a written table."""
-    docs = common.documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir))
+    docs, read = common.documents(spark, sf_dir), []
+    for _, stage in STAGES[:-1]:
+        kept = stage(spark, docs, sf_dir)
+        written: list[str] = []
+        with common.collecting(written):
+            docs = common.cut(kept)
+        common.drop(spark, read)
+        read = written
     return STAGES[-1][1](spark, docs, sf_dir)
