@@ -84,8 +84,8 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Ite
         yield batch.slice(first)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Each part of each batch with its texts; null counts as empty."""
     for batch in batches:
-        for part in slices(batch, column):
+        for part in slices(batch, column, most_bytes):
             yield part, [x or "" for x in part.column(column).to_pylist()]

@@ -37,6 +37,7 @@ SPACE = "▁"
 CHUNK = re.compile(f"\n|{SPACE}| *[^ \n{SPACE}]+| +")
 ALPHA = 0.5
 LITERAL = 1 << 20 | 1 << 16  # stands for U+2581 in a text: beyond all characters, so that no piece has it
+PART_BYTES = 2 << 20  # of text whose lattices a task holds at once
 LONG = 60  # offsets after which sums are brought back into range
 
 
@@ -276,7 +277,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", a
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(path or vocabulary(MODEL), alpha)
-        for part, texts in common.text_batches(batches, text_col):
+        for part, texts in common.text_batches(batches, text_col, PART_BYTES):
             ids = pieces.encode(texts, part.column(2).to_pylist())
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
