@@ -1,7 +1,8 @@
 """Quality rules (operator 8): measures of a text, and cutoffs whose false rejections are bounded on labelled holdouts.
 
 A rule rejects a document if a ratio of its measures is over a cutoff. The rules' cutoffs form one path, fixed beforehand:
-those of the first rule, the loosest first, then those of the second, and so on. At a point of the path all cutoffs up to there
+those of the first rule, the loosest first, then those of the second, and so on. (Fixed before the labels it is used on are
+seen, that is: an order chosen with them in view has no such guarantee on them.) At a point of the path all cutoffs up to there
 hold together, so a document is rejected there if the first cutoff on the path that it is over comes no later. Points are
 chosen per stratum (by default the language) on labelled documents, none of which any measure was fitted to. Of the good
 ones in a stratum that the base rules pass, ``n`` in number, ``k`` are rejected at a point. The point is certified if ``k``
