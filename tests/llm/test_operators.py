@@ -458,24 +458,30 @@ def test_cutoffs_limit_false_rejections(spark):
     assert sum(not got[i].kept for i in range(6000)) <= 0.02 * 6000
 
 
-def test_certified_points_equal_a_plain_search(spark):
-    """Three strata, one of them too small, null for a name, and labels of several kinds; points found by plain counting."""
+@pytest.mark.parametrize("junk", [" ###", None])
+def test_certified_points_equal_a_plain_search(spark, junk):
+    """Three strata, one of them too small, null for a name, and labels of several kinds; points found by plain counting.
+    Junk is one word over and over, so that rules which good documents break too come first and nothing is certified, or
+    other words each time, so that points are certified which reject some."""
     r, docs = random.Random(12), []
     for i in range(900):
         lang = ("aa", None, "bb")[0 if i < 500 else 1 if i < 800 else 2]
-        text = prose(i, 25) + " ###" * r.choice([0, 0, 0, 0, 2, 4, 9, 30]) * (i % 7 == 0) + "\nsame line" * (r.choice([0, 0, 0, 5]) if i % 5 == 0 else 0)
+        text = prose(i, 25) + "".join(junk or " ###" + "#" * n for n in range(r.choice([0, 0, 0, 0, 2, 4, 9, 30]) * (i % 7 == 0))) + "\nsame line" * (r.choice([0, 0, 0, 5]) if i % 5 == 0 else 0)
         docs.append((i, text, lang, 0 if "###" * 1 in text and r.random() < 0.99 else r.choice([1, 1, 1, None])))
     df = spark.createDataFrame([d[:3] for d in docs], "doc_id bigint, text string, lang string")
     good = spark.createDataFrame([(d[0], d[3]) for d in docs], "doc_id bigint, quality int")
-    points = quality.path()
 
     def ratios(text):
         words, chars, symbols, dup, rep = brute_measures(text)
         lines = [x for x in text.split("\n") if re.sub(SPACE, "", x)]
         return {"symbols": symbols / max(chars, 1), "word_length": chars / max(words, 1), "shouting": sum("A" <= c <= "Z" for c in text) / max(chars, 1), "lines": dup / max(len(lines), 1), "repeats": rep / max(words, 1)}
 
-    first = {i: next((n for n, (rule, c) in enumerate(points, 1) if ratios(t)[rule] > c), 99) for i, t, *_ in docs}
     fails = {i: (m := brute_measures(t))[0] < 20 or 100 * m[4] > 30 * m[0] for i, t, *_ in docs}
+    bad = [ratios(t) for i, t, _, label in docs if label == 0 and not fails[i]]
+    mean = {rule: sum(x[rule] > c for x in bad for c in cs) / len(cs) for rule, (_, cs) in quality.RULES.items()}
+    points = [(rule, c) for rule in sorted(sorted(mean), key=mean.get, reverse=True) for c in quality.RULES[rule][1]]
+    assert len(set(mean.values())) > 2
+    first = {i: next((n for n, (rule, c) in enumerate(points, 1) if ratios(t)[rule] > c), 99) for i, t, *_ in docs}
     held = defaultdict(list)
     for i, _, lang, label in docs:
         if label == 1 and not fails[i]:
@@ -488,7 +494,16 @@ def test_certified_points_equal_a_plain_search(spark):
         certified[lang] = passed.index(False) if False in passed else len(points)
     want = {i: not fails[i] and not first[i] <= certified.get(lang, 0) for i, _, lang, _ in docs}
     got = {x.doc_id: x.kept for x in quality.quality(df, good).collect()}
-    assert got == want and len(held) == 2 and any(not fails[i] and not k for i, k in want.items())
+    assert got == want and len(held) == 2 and any(not fails[i] and not k for i, k in want.items()) == (junk is None)
+
+
+def test_good_labels_leave_the_path_alone(spark):
+    """The rules' order follows the bad documents: other good ones, or none, give the same path; without bad ones it is by name."""
+    docs = [(i, prose(i, 30) + ("\nx" * 6 if i < 5 else "".join(" ###" + "#" * n for n in range(30)) if i < 8 else ""), "en") for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    measured = quality.measures(df, "doc_id").withColumn("base_failed", F.col("doc_id") == 5)
+    order = lambda *bad: list(quality.ranked(measured, spark.createDataFrame([(i,) for i in bad], "doc_id bigint"), id_col="doc_id"))
+    assert order(0, 1, 2, 6)[0] == "lines" and order(0, 5, 6, 7)[0] == "symbols" and order() == sorted(quality.RULES)
 
 
 # -- 2, 6, 7: models --------------------------------------------------------------------------------------------------------

@@ -1,13 +1,15 @@
 """Quality rules (operator 8): measures of a text, and cutoffs whose false rejections are bounded on labelled holdouts.
 
-A rule rejects a document if a ratio of its measures is over a cutoff. The rules' cutoffs form one path, fixed beforehand:
-those of the first rule, the loosest first, then those of the second, and so on. (Fixed before the labels it is used on are
-seen, that is: an order chosen with them in view has no such guarantee on them.) At a point of the path all cutoffs up to there
-hold together, so a document is rejected there if the first cutoff on the path that it is over comes no later. Points are
-chosen per stratum (by default the language) on labelled documents, none of which any measure was fitted to. Of the good
-ones in a stratum that the base rules pass, ``n`` in number, ``k`` are rejected at a point. The point is certified if ``k``
-or fewer of ``n`` would have a probability of at most ``alpha / strata`` were the true rate of false rejection, by all
-rules together, as high as ``limit``: an exact binomial tail. ``strata`` is the number of strata that have enough good
+A rule rejects a document if a ratio of its measures is over a cutoff. The rules' cutoffs form one path: those of the first
+rule, the loosest first, then those of the second, and so on. At a point of the path all cutoffs up to there hold together,
+so a document is rejected there if the first cutoff on the path that it is over comes no later. Which rule comes first is
+decided by documents labelled bad alone: by how many of those that the base rules pass a rule rejects, on average over its
+cutoffs. So the path doesn't depend on the good documents that its points are tested on.
+
+Points are chosen per stratum (by default the language) on documents labelled good, none of which any measure was fitted
+to. Of those in a stratum that the base rules pass, ``n`` in number, ``k`` are rejected at a point. The point is certified
+if ``k`` or fewer of ``n`` would have a probability of at most ``alpha / strata`` were the true rate of false rejection, by
+all rules together, as high as ``limit``: an exact binomial tail. ``strata`` is the number of strata that have enough good
 documents for any point to be certified (Bonferroni; it depends on nothing but their numbers). Within a stratum points are
 tested from the start of the path on and testing ends at the first that fails, so they need no further correction. With
 the given confidence no stratum loses more than ``limit`` of its good documents to the cutoffs; what the base rules
@@ -16,7 +18,8 @@ reject, which are fixed, comes on top. Where no point is certified the cutoffs r
 Built-in functions only. The measures take one pass without a shuffle; what is joined and grouped afterwards is narrow.
 
 Null text has no words, so its base rule fails. Null strata form one of their own. Labels that are null are not used; a
-document with several labels counts as good if all are. An empty table gives no rows, no labels no cutoffs.
+document with several labels counts as good if all are, else as bad. Rules that reject equally many bad documents come by
+name. An empty table gives no rows, no labels no cutoffs.
 """
 
 from __future__ import annotations
@@ -33,8 +36,7 @@ WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
 ALPHA, LIMIT = 0.05, 0.02
 
-#: Rule: its ratio as SQL, and its cutoffs, the loosest first. Rules stand in the order in which they come to hold: junk
-#: signs and glued words before capitals, and what good lists and verses have too, repeated lines and words, last.
+#: Rule: its ratio as SQL, and its cutoffs, the loosest first.
 RULES = {
     "symbols": ("n_symbols / greatest(word_chars, 1)", (0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08)),
     "word_length": ("word_chars / greatest(n_words, 1)", (40.0, 30.0, 25.0, 20.0, 17.0, 15.0, 13.0)),
@@ -81,8 +83,16 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k > n * p, 1.0).when(k == 0, F.exp(first)).otherwise(total)
 
 
-def path(rules=RULES) -> list[tuple[str, float]]:
-    """(rule, cutoff) in the order in which they come to hold."""
+def ranked(measured: DataFrame, bad: DataFrame, *, id_col: str, rules=RULES) -> dict:
+    """The rules in the order of their use: how many bad documents, which the base rules pass, are over a cutoff, on average."""
+    over = [F.count_if(F.expr(ratio) > c).alias(f"{r}_{c}") for r, (ratio, cs) in rules.items() for c in cs]
+    hits = measured.where(~F.col("base_failed")).join(bad, id_col, "left_semi").agg(*over).first()
+    mean = {r: sum(hits[f"{r}_{c}"] for c in cs) / len(cs) for r, (_, cs) in rules.items()}
+    return {r: rules[r] for r in sorted(rules, key=lambda r: (-mean[r], r))}
+
+
+def path(rules: dict) -> list[tuple[str, float]]:
+    """(rule, cutoff) in the order in which they come to hold, for rules in the order of their use."""
     return [(r, c) for r, (_, cs) in rules.items() for c in cs]
 
 
@@ -108,11 +118,12 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     measured = measures(docs, *keep, text_col=text_col).withColumn("base_failed", base).withColumnRenamed(stratum_col, "stratum")
     measured = common.cut(measured)
-    points = path(rules)
+    labelled = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("least"))
+    good, bad = (labelled.where(x).select(id_col) for x in ("least = 1", "least <> 1"))
+    points = path(ranked(measured, bad, id_col=id_col, rules=rules))
     over = [F.expr(rules[r][0]) > c for r, c in points]
     first = F.array_min(F.array(*(F.when(x, F.lit(i)) for i, x in enumerate(over, 1))))
     rated = measured.withColumn("first", first)
-    good = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("least")).where("least = 1").select(id_col)
     limits = common.cut(cutoffs(rated, good, id_col=id_col, points=len(points), alpha=alpha, limit=limit))
     judged = rated.join(limits, F.col("stratum").eqNullSafe(F.col("own")), "left")
     failed = F.array_distinct(F.filter(F.array(*(F.when(x & (F.col("certified") >= i), F.lit(r)) for i, ((r, _), x) in enumerate(zip(points, over, strict=True), 1))), lambda x: x.isNotNull()))
@@ -125,13 +136,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(common.documents(spark, sf_dir), common.labels(spark, sf_dir)).drop("failed_rules")
 
 
-#: The path again as SQL, written out: place, what is compared, cutoff.
-_SQL_PATH = """
-(1, 'symbols', 0.6), (2, 'symbols', 0.5), (3, 'symbols', 0.4), (4, 'symbols', 0.35), (5, 'symbols', 0.3), (6, 'symbols', 0.25), (7, 'symbols', 0.2), (8, 'symbols', 0.15), (9, 'symbols', 0.1), (10, 'symbols', 0.08),
-(11, 'word_length', 40), (12, 'word_length', 30), (13, 'word_length', 25), (14, 'word_length', 20), (15, 'word_length', 17), (16, 'word_length', 15), (17, 'word_length', 13),
-(18, 'shouting', 0.95), (19, 'shouting', 0.9), (20, 'shouting', 0.8), (21, 'shouting', 0.7), (22, 'shouting', 0.6), (23, 'shouting', 0.5), (24, 'shouting', 0.4), (25, 'shouting', 0.3),
-(26, 'lines', 0.8), (27, 'lines', 0.7), (28, 'lines', 0.6), (29, 'lines', 0.5), (30, 'lines', 0.4), (31, 'lines', 0.3), (32, 'lines', 0.25), (33, 'lines', 0.2),
-(34, 'repeats', 0.29), (35, 'repeats', 0.27), (36, 'repeats', 0.25), (37, 'repeats', 0.2), (38, 'repeats', 0.15), (39, 'repeats', 0.1)"""
+#: The cutoffs again as SQL, written out: rule, step, cutoff.
+_SQL_CUTOFFS = """
+('symbols', 1, 0.6), ('symbols', 2, 0.5), ('symbols', 3, 0.4), ('symbols', 4, 0.35), ('symbols', 5, 0.3), ('symbols', 6, 0.25), ('symbols', 7, 0.2), ('symbols', 8, 0.15), ('symbols', 9, 0.1), ('symbols', 10, 0.08),
+('word_length', 1, 40), ('word_length', 2, 30), ('word_length', 3, 25), ('word_length', 4, 20), ('word_length', 5, 17), ('word_length', 6, 15), ('word_length', 7, 13),
+('shouting', 1, 0.95), ('shouting', 2, 0.9), ('shouting', 3, 0.8), ('shouting', 4, 0.7), ('shouting', 5, 0.6), ('shouting', 6, 0.5), ('shouting', 7, 0.4), ('shouting', 8, 0.3),
+('lines', 1, 0.8), ('lines', 2, 0.7), ('lines', 3, 0.6), ('lines', 4, 0.5), ('lines', 5, 0.4), ('lines', 6, 0.3), ('lines', 7, 0.25), ('lines', 8, 0.2),
+('repeats', 1, 0.29), ('repeats', 2, 0.27), ('repeats', 3, 0.25), ('repeats', 4, 0.2), ('repeats', 5, 0.15), ('repeats', 6, 0.1)"""
 ORACLE = rf"""
 WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
@@ -141,11 +152,15 @@ rep AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM dup, (SELECT
 m AS (SELECT w.doc_id, lang, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM w JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
-path(place, rule, cutoff) AS (VALUES {_SQL_PATH}),
+cutoffs(rule, step, cutoff) AS (VALUES {_SQL_CUTOFFS}),
 r AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 ratios AS (UNPIVOT (SELECT doc_id, n_symbols / greatest(word_chars, 1) AS symbols, n_dup_lines / greatest(n_lines, 1) AS lines, n_repeat_words / greatest(n_words, 1) AS repeats, n_upper / greatest(word_chars, 1) AS shouting, word_chars / greatest(n_words, 1) AS word_length FROM r) ON symbols, lines, repeats, shouting, word_length INTO NAME rule VALUE ratio),
+labelled AS (SELECT doc_id, min(quality) AS least FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+bad AS (SELECT doc_id FROM r SEMI JOIN (SELECT doc_id FROM labelled WHERE least <> 1) USING (doc_id) WHERE NOT base_failed),
+means AS (SELECT c.rule, count(x.doc_id) / count(DISTINCT c.step) AS mean FROM cutoffs c LEFT JOIN (SELECT * FROM ratios SEMI JOIN bad USING (doc_id)) x ON x.rule = c.rule AND x.ratio > CAST(c.cutoff AS DOUBLE) GROUP BY c.rule),
+path AS (SELECT rule, cutoff, row_number() OVER (ORDER BY mean DESC, rule, step) AS place FROM cutoffs JOIN means USING (rule)),
 f AS (SELECT doc_id, min(place) AS first FROM ratios JOIN path USING (rule) WHERE ratio > CAST(cutoff AS DOUBLE) GROUP BY doc_id),
-good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+good AS (SELECT doc_id FROM labelled WHERE least = 1),
 held AS (SELECT r.doc_id, lang, first FROM r SEMI JOIN good USING (doc_id) LEFT JOIN f USING (doc_id) WHERE NOT base_failed),
 sizes AS (SELECT lang, count(*) AS n FROM held GROUP BY lang HAVING 0.98 ** count(*) <= 0.05),
 tried AS (SELECT s.lang, n, place, (SELECT count(*) FROM held h WHERE h.lang IS NOT DISTINCT FROM s.lang AND first <= place) AS k FROM sizes s CROSS JOIN path),
