@@ -5,6 +5,9 @@ import zipfile
 import pytest
 
 from veilwork import cli
+from veilwork.functions import strategies
+from veilwork.functions.stream import TAG, Profile
+from veilwork.plans import policy
 from veilwork.sources import detect, sqldump, sqltext
 from veilwork.sources import files as opening
 
@@ -96,6 +99,16 @@ def test_gates(spark, files):
     assert run(spark, files, "--in-place")[0] == 1 and cli.main(["-i", str(files / "none.sql"), "-c", str(files / "p.toml")], spark=spark) == 1
 
 
+def test_domain_tag(spark, files):
+    (files / "p.toml").write_text('salt = "s"\n[rules.users]\nemail = { strategy = "string", length = 9, domain = "d" }')
+    own, tagged = (run(spark, files, *more)[1].splitlines() for more in ((), ("--domain-tag", "another-map-v1")))
+    p = policy.load(files / "p.toml")
+    value = lambda tag: strategies.mask_value(p.rule("users", "email"), Profile(salt="s", tag=tag), "it's;")
+    for lines, tag in ((own, TAG), (tagged, b"another-map-v1")):
+        assert f"1\t{value(tag)}" in lines
+    assert value(TAG) != value(b"another-map-v1") and own[0] != tagged[0]  # a seal of one tag isn't trusted under another
+
+
 def test_scaffold_config(spark, files, capsys):
     assert cli.main(["scaffold-config", "-i", str(files / "d.sql"), "--infer-json-paths"], spark=spark) == 0
     text = capsys.readouterr().out

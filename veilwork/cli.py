@@ -13,6 +13,7 @@ import tempfile
 import time
 from pathlib import Path
 
+from veilwork.functions.stream import TAG
 from veilwork.operators import coverage, report, scaffold, scan, seal
 from veilwork.operators.masking import Masking
 from veilwork.plans import lint, policy
@@ -29,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--report")
     top.add_argument("--seed", type=int, default=int(os.environ["VEILWORK_SEED"]) if os.environ.get("VEILWORK_SEED", "").isdigit() else None)
     top.add_argument("--security-profile", choices=("standard", "hardened"), default="standard")
+    top.add_argument("--domain-tag", type=os.fsencode, default=TAG, help="goes before what is hashed for a domain; that of another engine gives its values")
     commands = top.add_subparsers(dest="command")
     one = commands.add_parser("lint-policy", help="check a policy without data")
     one.add_argument("-c", "--config")
@@ -116,7 +118,7 @@ def _mask(args, spark) -> int:
         raise ValueError("--fail-on-findings needs --scan-output")
     own = policy.load(args.config, allow_none=args.allow_noop)
     hardened = args.security_profile == "hardened"
-    m = Masking.of(own, hardened=hardened, seed=args.seed)
+    m = Masking.of(own, hardened=hardened, seed=args.seed, tag=args.domain_tag)
     begun = time.monotonic()
     spark = spark or _session()
     source = _resolved(args, spark, own)

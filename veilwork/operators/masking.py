@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from veilwork.functions import jsonpath, predicates
 from veilwork.functions.strategies import always_quoted, draws_fresh, fresh, fresh_name, mask_column, mask_value
-from veilwork.functions.stream import Profile
+from veilwork.functions.stream import TAG, Profile
 from veilwork.operators import domains
 from veilwork.plans.policy import Policy, Spec
 
@@ -32,8 +32,8 @@ class Masking:
     mappings: Mapping[tuple, DataFrame] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, policy: Policy, *, hardened: bool = False, seed: int | None = None, **more) -> "Masking":
-        return cls(policy, Profile(hardened=hardened, salt=policy.salt, seed=None if hardened else seed), **more)
+    def of(cls, policy: Policy, *, hardened: bool = False, seed: int | None = None, tag: bytes = TAG, **more) -> "Masking":
+        return cls(policy, Profile(hardened=hardened, salt=policy.salt, seed=None if hardened else seed, tag=tag), **more)
 
     def most(self, table: str, column: str) -> int | None:
         for key in Policy._keys(table):
