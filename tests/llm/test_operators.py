@@ -217,6 +217,12 @@ def test_chains_and_crowds_lose_no_link(spark):
     assert sorted(map(tuple, got), key=key) == want and len({x[2] for x in want if x[0] < 30}) == 1
 
 
+def long_copies():
+    """A long text, and copies of it in which a stretch of thousands of words is new: of 2,200 words, of 3,000 and of 4,000."""
+    base = prose(900, 28_000).split()
+    return [(1, " ".join(base)), *((i, " ".join(base[: 9000 * i - 17_000] + prose(900 + i, n).split() + base[9000 * i - 17_000 + n :])) for i, n in ((2, 2200), (3, 3000), (4, 4000))), (5, prose(910, 40))]
+
+
 @pytest.mark.parametrize("more", [{"least": 2, "share": 0.0}, {"least": 3, "share": 0.0, "sample": 2000}, {"least": 2, "share": 0.0, "most": 50}, {"class_bits": 3}, {"least": 2, "share": 0.05, "class_bits": 5}])
 def test_frequent_keys_and_clashing_numbers_change_nothing(odd, rows, more):
     got = ngram_join.ngram_join(odd, **more).select("doc_id", "n_shingles", "component_id").collect()

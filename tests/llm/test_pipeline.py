@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import pytest
 from helpers import prose
-from test_operators import brute_base, brute_measures, brute_near
+from test_operators import brute_base, brute_measures, brute_near, long_copies
 
 from veilwork.llm import secrets, token_counts, wordbpe
 
@@ -118,3 +118,15 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{place}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_long_near_copies(spark, tmp_path):
+    """At 80 % of shingles of five words the copies with 2,200 and 3,000 new words go, the one with 4,000 stays."""
+    rows = long_copies()
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert {i for i, _, c in brute_near(rows, 5, 80) if i == c} == {1, 4, 5}
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    bpe = wordbpe.load(token_counts.vocabulary())
+    assert {r.doc_id: r.doc_tokens for r in whole} == {i: len(bpe.encode(t)) // 4 + 1 for i, t in rows if i in (1, 4, 5)}
+    assert sum(r.length for r in whole) == sum({r.doc_id: r.doc_tokens for r in whole}.values())

@@ -93,7 +93,8 @@ def _active(docs: DataFrame, total: int, words: int, percent: int, text_col: str
                 out.append((number, n, n - len(keys), keys.astype("<u8").tobytes(), found[0].astype(np.int64), *(p.astype("<u8").tobytes() for p in found[1:])))
         return pd.DataFrame(out, columns=["c", "n", "own", "tokens", "first", *(f"order{i}" for i in range(2, ORDERS + 1))])
 
-    schema = "c long, n int, own int, tokens binary, first array<bigint>" + "".join(f", order{i} binary" for i in range(2, ORDERS + 1))
+    # sizes are multiplied below: 32 bits would overflow, an error under ANSI, from 2,148 own tokens on
+    schema = "c long, n long, own long, tokens binary, first array<bigint>" + "".join(f", order{i} binary" for i in range(2, ORDERS + 1))
     return sharedkeys.shared(docs, keys_of, total, each, schema, text_col=text_col, table=table)
 
 
