@@ -223,6 +223,14 @@ def long_copies():
     return [(1, " ".join(base)), *((i, " ".join(base[: 9000 * i - 17_000] + prose(900 + i, n).split() + base[9000 * i - 17_000 + n :])) for i, n in ((2, 2200), (3, 3000), (4, 4000))), (5, prose(910, 40))]
 
 
+def test_thousands_of_own_tokens(spark):
+    rows = long_copies()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.ngram_join(df, words=4, percent=85).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(map(tuple, got)) == Counter(brute_near(rows, 4, 85))
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
 @pytest.mark.parametrize("more", [{"least": 2, "share": 0.0}, {"least": 3, "share": 0.0, "sample": 2000}, {"least": 2, "share": 0.0, "most": 50}, {"class_bits": 3}, {"least": 2, "share": 0.05, "class_bits": 5}])
 def test_frequent_keys_and_clashing_numbers_change_nothing(odd, rows, more):
     got = ngram_join.ngram_join(odd, **more).select("doc_id", "n_shingles", "component_id").collect()
