@@ -231,6 +231,14 @@ def test_thousands_of_own_tokens(spark):
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
 
 
+@pytest.mark.parametrize("texts", [[prose(920, 60), edited(prose(920, 60), 921, 30), prose(922, 50), prose(923, 50)], [prose(920, 60), prose(920, 60).replace(" ", "\n")]])
+def test_blocks_without_frequent_keys_and_of_frequent_keys_alone(spark, texts):
+    rows = list(enumerate(texts))  # half of them in each of two tasks
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    got = ngram_join.ngram_join(df, words=4, percent=85, least=2, share=0.0).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=key) == brute_near(rows, 4, 85)
+
+
 @pytest.mark.parametrize("more", [{"least": 2, "share": 0.0}, {"least": 3, "share": 0.0, "sample": 2000}, {"least": 2, "share": 0.0, "most": 50}, {"class_bits": 3}, {"least": 2, "share": 0.05, "class_bits": 5}])
 def test_frequent_keys_and_clashing_numbers_change_nothing(odd, rows, more):
     got = ngram_join.ngram_join(odd, **more).select("doc_id", "n_shingles", "component_id").collect()

@@ -122,6 +122,8 @@ def frequent(docs: DataFrame, keys_of: Callable[[str], np.ndarray], total: int,
 
 def _deal(keys: list[np.ndarray], classes: list[int], sizes: list[int], buckets: int) -> list[tuple]:
     flat = np.concatenate(keys)
+    if not len(flat):  # all keys of the block are frequent
+        return []
     owner = np.repeat(np.arange(len(keys), dtype=np.uint16), [len(k) for k in keys])
     order = np.argsort(flat)
     flat, owner = flat[order], owner[order]
@@ -140,6 +142,8 @@ def _direct(places: list[np.ndarray], classes: list[int], sizes: list[int], tabl
     """Frequent keys by the class's bucket, which stands below 0 on this way."""
     classes, sizes, counts = np.array(classes, np.int64), np.array(sizes, np.uint32), np.array([len(p) for p in places])
     held = np.flatnonzero(counts)
+    if not len(held):  # no class of the block has a frequent key
+        return []
     target = classes[held] % buckets
     held = held[np.argsort(target, kind="stable")]
     target = classes[held] % buckets
