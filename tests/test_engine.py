@@ -322,3 +322,19 @@ def test_dense_texts_are_scanned_in_time(spark):
     counts = {r.category: r["count"] for r in scan.category_counts(df).collect()}
     assert counts == {"email": 20_000, "ssn": 0, "pan": 20_000, "token": 60_000}
     assert {r.category: r["count"] for r in scan.findings(df).groupBy("category").count().collect()} == {"email": 20_000, "pan": 20_000, "token": 60_000}
+
+
+# -- queries over larger tables -------------------------------------------------------------------------------------------
+
+
+def test_drafted_paths_over_long_ids(spark, tmp_path):
+    import duckdb
+
+    from veilwork import audit_queries
+
+    duckdb.sql("SELECT i AS event_id, 'view' AS event_type FROM range(10000, 10050) AS r(i)").write_parquet(str(tmp_path / "events.parquet"))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+        wanted = con.execute(audit_queries.ORACLE_SQL["scaffold_json_paths"]).fetchall()
+    got = [tuple(r) for r in audit_queries.QUERIES["scaffold_json_paths"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(wanted) and len(got) == 4
