@@ -338,3 +338,24 @@ def test_drafted_paths_over_long_ids(spark, tmp_path):
         wanted = con.execute(audit_queries.ORACLE_SQL["scaffold_json_paths"]).fetchall()
     got = [tuple(r) for r in audit_queries.QUERIES["scaffold_json_paths"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(wanted) and len(got) == 4
+
+
+@pytest.mark.parametrize("high, n", [(229, 200), (99, 130), (5_000, 200)])
+def test_unique_pseudonyms_follow_the_order_of_candidates(spark, high, n):
+    m = of(f'[rules.t]\nv = {{ strategy = "int_range", min = 0, max = {high}, domain = "d", unique_within_domain = true }}')
+    spec = m.policy.rule("t", "v")
+    left, wanted = sorted(f"v{i}" for i in range(n)), {}
+    for k in range(301):
+        for value in list(left):
+            if (p := strategies.mask_value(spec, m.profile, value, k=k)) not in wanted.values():
+                wanted[value] = p
+                left.remove(value)
+    wanted |= {v: strategies.mask_value(spec, m.profile, v) for v in left}
+    df = spark.createDataFrame([(f"v{i}",) for i in range(n)], "v string")
+    got = domains.unique_mappings(m, {"t": df}, retries=300)
+    assert dict(tuple(r) for r in next(iter(got.values())).collect()) == wanted and len(set(wanted.values())) == min(n, high + 1)
+
+
+def test_space_of_strategies():
+    spaces = {s: strategies.space(Spec(s, **more)) for s, more in {"int_range": {"min": 5, "max": 9}, "email": {}, "string": {"length": 2}, "hash": {}, "redact": {}}.items()}
+    assert spaces == {"int_range": 5, "email": 16 * 3 * 12 * 9999 * 3, "string": 62**2, "hash": None, "redact": 1}
