@@ -359,3 +359,16 @@ def test_unique_pseudonyms_follow_the_order_of_candidates(spark, high, n):
 def test_space_of_strategies():
     spaces = {s: strategies.space(Spec(s, **more)) for s, more in {"int_range": {"min": 5, "max": 9}, "email": {}, "string": {"length": 2}, "hash": {}, "redact": {}}.items()}
     assert spaces == {"int_range": 5, "email": 16 * 3 * 12 * 9999 * 3, "string": 62**2, "hash": None, "redact": 1}
+
+
+def test_random_masks_hash_nothing(spark):
+    m = of('[rules.t]\na = { strategy = "uuid" }\nb = { strategy = "faker", faker = "lorem::Sentence" }\nc = { strategy = "int_range", min = 0, max = 9000000000000000000 }\nd = { strategy = "payment_card" }\ne = { strategy = "datetime_fuzz" }', seed=3)
+    done = m.apply(spark.range(300).selectExpr("id", "'x' AS a", "'x' AS b", "'x' AS c", "'x' AS d", "'9999-12-31 10:00:00' AS e"), "t")
+    assert "sha2" not in done._jdf.queryExecution().optimizedPlan().toString()  # hashes cost more than all else
+    rows = done.collect()
+    words = {w.capitalize() for w in fakes._WORD.words}
+    assert len({r.a for r in rows}) == len({r.c for r in rows}) == 300 and max(int(r.c) for r in rows) > 1 << 62
+    assert all(r.b.split(" ")[0].rstrip(".") in words for r in rows)  # the first letter and the rest are of one draw
+    assert all(fakes.check_digit([int(c) for c in r.d[:-1]], "luhn") == r.d[-1] for r in rows)
+    assert all(len(r.e) == 19 and r.e < "9999-12-31 23:59:60" for r in rows)
+    assert [tuple(r) for r in done.collect()] == [tuple(r) for r in rows]
