@@ -1,5 +1,6 @@
 import gzip
 import json
+import time
 import zipfile
 
 import pytest
@@ -242,3 +243,16 @@ def test_stats_line(spark, files, capsys):
     (files / "p.toml").write_text(POLICY)
     assert run(spark, files, "--stats")[0] == 0
     assert "rows=" in (line := capsys.readouterr().err) and "dropped=2" in line and "wall_ms=" in line
+
+
+def test_rows_below_their_columns_are_found_in_time():
+    head = b"INSERT INTO t (customer_id, nation_key) VALUES\n"
+    rows = [b"(1, 'a;''(b')", b"(now(), E'a\\'b;')", b"(-1, e'x'::text)", b"((2), f('a', 'b'))", b"(NULL, 'type''z')"]
+    lines = [x for _ in range(40) for x in (head, b"  " + b", ".join(rows) + b"\n", b"ON CONFLICT DO NOTHING;\n")]
+    began = time.monotonic()
+    found = list(sqltext.segments(lines))
+    assert time.monotonic() - began < 5  # a list of names was cut in all ways: some seconds a statement
+    assert [(s.kind, s.columns, s.more["tail"]) for s in found] == [("insert", ["customer_id", "nation_key"], "ON CONFLICT DO NOTHING;\n")] * 40
+    cells, tail = sqltext.rows(b"".join(lines[:3]).decode(), len(found[0].header))
+    assert tail == "ON CONFLICT DO NOTHING;\n" and [[c.value for c in row] for row in cells] == [["1", "a;'(b"], ["now()", "a'b;"], ["-1", "x"], ["(2)", "f('a', 'b')"], [None, "type'z"]]
+    assert cells[2][1] == sqltext.Cell("x", True, None, "::text")
