@@ -372,3 +372,15 @@ def test_random_masks_hash_nothing(spark):
     assert all(fakes.check_digit([int(c) for c in r.d[:-1]], "luhn") == r.d[-1] for r in rows)
     assert all(len(r.e) == 19 and r.e < "9999-12-31 23:59:60" for r in rows)
     assert [tuple(r) for r in done.collect()] == [tuple(r) for r in rows]
+
+
+def test_large_mappings_do_not_pass_through_the_driver(spark, monkeypatch):
+    df = spark.range(60).selectExpr("cast(id AS string) AS v")
+    m = of('[rules.t]\nv = { strategy = "int_range", min = 0, max = 99, domain = "d", unique_within_domain = true }')
+    plans = []
+    for most in (1_000, 10):
+        monkeypatch.setattr(domains, "MOST_BROADCAST", most)
+        done = m.with_unique({"t": df}).apply(df, "t")
+        assert len({r.v for r in done.collect()}) == 60
+        plans.append(done._jdf.queryExecution().executedPlan().toString())
+    assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1] and "SortMergeJoin" in plans[1]
